@@ -3,17 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontaminate, langid, minhash, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int, id_col: str = "doc_id"):
+    """crc32(id as text) mod n; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn_from=remainder(3) != 1)
+    held_out = (remainder(3) == 1).alias("held_out")
+    return toxicity.scores(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_minhash(spark, sf_dir):
-    from .minhash import near_duplicates
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op4_url_reputation(spark, sf_dir):
+    """Labels of the documents table stand for page outcomes: bad = low quality or toxic, by equal id."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad")
+    out = url_rules.judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad), URL_RULES)
+    return out.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_low")})
+
+
+def op8_containment(spark, sf_dir):
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+def op9_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn_from=remainder(5) != 0)
+    return langid.predict(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op3_minhash": op3_minhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_minhash": op3_minhash,
+    "op4_url_reputation": op4_url_reputation,
+    "op8_containment": op8_containment,
+    "op9_langid": op9_langid,
+}
+ORACLE_SQL = {
+    "op4_url_reputation": url_rules.oracle(URL_RULES, 0.25, 1.0),
+    "op8_containment": decontaminate.ORACLE,
+}

@@ -199,4 +199,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document stands for its component; all columns stay as they are."""
     verdict = near_duplicates(docs, id_col=id_col, **options)
     gone = verdict.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    gone = Scratch(docs.sparkSession).keep(gone)
     return docs.join(broadcast_if_small(gone), docs[id_col] == F.col("_gone"), "left_anti")
