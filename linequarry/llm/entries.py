@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, toxicity, url_rules
+from . import decontaminate, html_layout, langid, minhash, mixing, toxicity, url_rules, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op4_url_reputation(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_low")})
 
 
+def op6_html_layout(spark, sf_dir):
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_collision_counting(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), limit=0.95)
+
+
 def op8_containment(spark, sf_dir):
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,14 +57,27 @@ def op9_langid(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+MIX = {"budget": 1.0, "max_epochs": 2.0, "block_tokens": 100_000, "slice_rows": 2000, "seed": 1}
+
+
+def op10_temperature_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.plan(docs, **MIX).drop("text")
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_url_reputation": op4_url_reputation,
+    "op6_html_layout": op6_html_layout,
+    "op7_collision_counting": op7_collision_counting,
     "op8_containment": op8_containment,
     "op9_langid": op9_langid,
+    "op10_temperature_mix": op10_temperature_mix,
 }
 ORACLE_SQL = {
+    "op7_collision_counting": vectors.ORACLE,
+    "op10_temperature_mix": mixing.oracle(**MIX),
     "op4_url_reputation": url_rules.oracle(URL_RULES, 0.25, 1.0),
     "op8_containment": decontaminate.ORACLE,
 }
