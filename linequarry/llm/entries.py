@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_layout, langid, minhash, mixing, toxicity, url_rules, vectors
+from . import decontaminate, html_layout, langid, minhash, mixing, passages, toxicity, url_rules, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def remainder(n: int, id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def op1_passage_chaining(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn_from=remainder(3) != 1)
@@ -66,6 +70,7 @@ def op10_temperature_mix(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_passage_chaining": op1_passage_chaining,
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_url_reputation": op4_url_reputation,
