@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_layout, langid, minhash, mixing, passages, toxicity, url_rules, vectors
+from . import decontaminate, html_layout, langid, lm_score, minhash, mixing, passages, toxicity, url_rules, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op4_url_reputation(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_low")})
 
 
+def op5_gru_lm(spark, sf_dir):
+    out = lm_score.score_documents(table(spark, sf_dir, "documents"), learn_from=remainder(7) != 2)
+    return out.withColumn("held_out", remainder(7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_html_layout(spark, sf_dir):
     return html_layout.extract(table(spark, sf_dir, "pages"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_url_reputation": op4_url_reputation,
+    "op5_gru_lm": op5_gru_lm,
     "op6_html_layout": op6_html_layout,
     "op7_collision_counting": op7_collision_counting,
     "op8_containment": op8_containment,
