@@ -50,8 +50,10 @@ def _fallback(pattern: str, fold: bool, what: str):
 class Matcher:
     """Columns of one predicate on a line (``\\r`` already trimmed)."""
 
-    def __init__(self, p: Predicate, fold: bool = False):
-        self.p, self.fold = p, fold
+    def __init__(self, p: Predicate, fold: bool = False, raw: bool = False):
+        """raw: the text already is a byte view."""
+        self.p, self.fold, self.raw = p, fold, raw
+        self.view = (lambda c: c) if raw else bytes_of
         inline, body = split_fold(p.value) if p.kind == "regex" else (False, p.value)
         self.fold_literal = fold or inline
         self.literals: list[str] | None = None
@@ -67,6 +69,8 @@ class Matcher:
                 self.java = ("(?i)" if fold and not inline else "") + to_java(p.value)
             except NeedsFallback:
                 self.python = p.value
+        if raw and self.literals is not None:
+            self.literals = [byte_view(v) for v in self.literals]
 
     def _both(self, line: Column, value: str) -> tuple[Column, str]:
         return (ascii_lower(line), value.translate(_FOLD)) if self.fold_literal else (line, value)
@@ -80,9 +84,10 @@ class Matcher:
                 out = hit if out is None else out | hit
             return out
         if self.python:
-            return (line != "") & (_fallback(self.python, self.fold, "find")(bytes_of(line)) > 0)
-        hit = (line != "") & F.rlike(bytes_of(line), F.lit(self.java))
+            return (line != "") & (_fallback(self.python, self.fold, "find")(self.view(line)) > 0)
+        hit = (line != "") & F.rlike(self.view(line), F.lit(self.java))
         must = "" if self.fold_literal else needle(self.p)
+        must = byte_view(must) if self.raw else must
         return F.contains(line, F.lit(must)) & hit if must else hit
 
     def column(self, line: Column) -> Column:
@@ -90,16 +95,16 @@ class Matcher:
         if self.p.kind == "prefix":
             return F.when(self.test(line), 1).otherwise(0)
         if self.p.kind == "suffix":
-            return F.when(self.test(line), F.octet_length(line) - len(self.p.value.encode()) + 1).otherwise(0)
+            return F.when(self.test(line), (F.length(line) if self.raw else F.octet_length(line)) - len(self.p.value.encode()) + 1).otherwise(0)
         if self.literals is not None:
             spots = []
             for value in self.literals:
                 x, v = self._both(line, value)
-                spots.append(F.nullif(F.instr(bytes_of(x), byte_view(v)), F.lit(0)))
+                spots.append(F.nullif(F.instr(self.view(x), v if self.raw else byte_view(v)), F.lit(0)))
             return F.coalesce(F.least(*spots) if len(spots) > 1 else spots[0], F.lit(0))
         if self.python:
-            return F.when(line != "", _fallback(self.python, self.fold, "find")(bytes_of(line))).otherwise(0)
-        return F.when(line != "", F.regexp_instr(bytes_of(line), F.lit(self.java))).otherwise(0)
+            return F.when(line != "", _fallback(self.python, self.fold, "find")(self.view(line))).otherwise(0)
+        return F.when(line != "", F.regexp_instr(self.view(line), F.lit(self.java))).otherwise(0)
 
     def count(self, text: Column) -> Column:
         """Occurrences (one literal, full regular expressions) or 1 per matching line (the others)."""
@@ -109,27 +114,27 @@ class Matcher:
             return ((F.octet_length(x) - F.octet_length(F.replace(x, F.lit(v), F.lit("")))) / len(v.encode())).cast("long")
         if s in ("regex_full", "regex_fixed_width_bytes") and not self.p.decomposed:
             if self.python:
-                return F.when(text != "", _fallback(self.python, self.fold, "count")(bytes_of(text))).otherwise(0).cast("long")
-            return F.when(text != "", F.regexp_count(bytes_of(text), F.lit(self.java))).otherwise(0).cast("long")
+                return F.when(text != "", _fallback(self.python, self.fold, "count")(self.view(text))).otherwise(0).cast("long")
+            return F.when(text != "", F.regexp_count(self.view(text), F.lit(self.java))).otherwise(0).cast("long")
         return self.test(text).cast("long")
 
 
-def matchers(query: str | Plan, fold: bool = False) -> list[Matcher]:
-    return [Matcher(p, fold) for p in as_plan(query).predicates]
+def matchers(query: str | Plan, fold: bool = False, raw: bool = False) -> list[Matcher]:
+    return [Matcher(p, fold, raw) for p in as_plan(query).predicates]
 
 
-def line_test(query: str | Plan, line: Column, fold: bool = False) -> Column:
+def line_test(query: str | Plan, line: Column, fold: bool = False, raw: bool = False) -> Column:
     plan, out = as_plan(query), None
-    for m in matchers(plan, fold):
+    for m in matchers(plan, fold, raw):
         t = m.test(line)
         out = t if out is None else (out & t if plan.mode == "all" else out | t)
     return out
 
 
-def line_column(query: str | Plan, line: Column, fold: bool = False) -> Column:
+def line_column(query: str | Plan, line: Column, fold: bool = False, raw: bool = False) -> Column:
     """Least column of the matching predicates, 0 if the line does not match."""
     plan = as_plan(query)
-    spots = [m.column(line) for m in matchers(plan, fold)]
+    spots = [m.column(line) for m in matchers(plan, fold, raw)]
     if len(spots) == 1:
         return spots[0]
     least = F.least(*[F.nullif(s, F.lit(0)) for s in spots])
@@ -141,11 +146,16 @@ def line_column(query: str | Plan, line: Column, fold: bool = False) -> Column:
     return F.when(every, least).otherwise(0)
 
 
-def line_count(query: str | Plan, line: Column, fold: bool = False) -> Column:
+def line_count(query: str | Plan, line: Column, fold: bool = False, raw: bool = False) -> Column:
     plan = as_plan(query)
     if len(plan.predicates) == 1:
-        return matchers(plan, fold)[0].count(line)
-    return line_test(plan, line, fold).cast("long")
+        return matchers(plan, fold, raw)[0].count(line)
+    return line_test(plan, line, fold, raw).cast("long")
+
+
+def needs_python(query: str | Plan) -> bool:
+    """Whether a predicate runs in Python; such tests cannot stand inside a lambda over an array."""
+    return any(m.python for m in matchers(query))
 
 
 def counts_whole_text(query: str | Plan) -> bool:
@@ -156,12 +166,12 @@ def counts_whole_text(query: str | Plan) -> bool:
     return not re.search(r"[\r\n]", matchers(plan)[0].literals[0])
 
 
-def may_match(query: str | Plan, text: Column, fold: bool = False, trigrams: bool = True) -> Column | None:
+def may_match(query: str | Plan, text: Column, fold: bool = False, trigrams: bool = True, raw: bool = False) -> Column | None:
     """A test on whole texts that every matching one passes; None if nothing is known."""
     plan = as_plan(query)
     if fold:
         return None
-    musts = [needle(p) for p in plan.predicates]
+    musts = [byte_view(needle(p)) if raw else needle(p) for p in plan.predicates]
     if plan.mode == "any":
         if "" in musts:
             return None
@@ -173,19 +183,19 @@ def may_match(query: str | Plan, text: Column, fold: bool = False, trigrams: boo
     tests = [F.contains(text, F.lit(m)) for m in dict.fromkeys(musts) if m]
     covered = {i for i, m in enumerate(musts) if m}
     if trigrams:
-        tests += [t for i, group in admit(plan).groups if i not in covered for t in _has_all(text, group)]
+        tests += [t for i, group in admit(plan).groups if i not in covered for t in _has_all(text, group, raw)]
     out = None
     for t in tests:
         out = t if out is None else out & t
     return out
 
 
-def _has_all(text: Column, group) -> list[Column]:
-    view = bytes_of(text)
+def _has_all(text: Column, group, raw: bool) -> list[Column]:
+    view = text if raw else bytes_of(text)
     return [F.contains(view, F.lit(t.decode("latin-1"))) for t in group]
 
 
-def trigram_test(query: str | Plan, text: Column) -> Column | None:
+def trigram_test(query: str | Plan, text: Column, raw: bool = False) -> Column | None:
     """Trigram admission alone: all trigrams of all groups, or of any group for ``||``."""
     a = admit(as_plan(query))
     if not a.eligible:
@@ -193,7 +203,7 @@ def trigram_test(query: str | Plan, text: Column) -> Column | None:
     out = None
     for _, group in a.groups:
         all_ = None
-        for t in _has_all(text, group):
+        for t in _has_all(text, group, raw):
             all_ = t if all_ is None else all_ & t
         out = all_ if out is None else (out & all_ if a.mode == "all" else out | all_)
     return out

@@ -8,7 +8,7 @@ from .strategy import _class_end
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 NO_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<![A-Za-z0-9_])(?![A-Za-z0-9_]))"
 POSIX = {
-    "alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "punct": r"\p{Punct}",
+    "alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": "A-Z", "lower": "a-z", "punct": r"\p{Punct}",
     "graph": r"\p{Graph}", "print": r"\p{Print}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "xdigit": r"\p{XDigit}", "space": r"\s", "word": r"\w",
 }
 
@@ -41,7 +41,7 @@ def _class(body: str) -> str:
             known = POSIX.get(name.removeprefix("^"))
             if known is None:
                 raise QueryError("bad_regex", f"unknown class [:{name}:]")
-            out += f"[^{known}]" if no else known
+            out += f"[^{known}]" if no else known  # ranges, because Java folds no property
             i = stop + 2
         elif body[i] in "[&~":
             out += "\\" + body[i]

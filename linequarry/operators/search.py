@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_plan, counts_whole_text, line_column, line_count, line_test, may_match, trigram_test
+from ..functions.columns import as_plan, counts_whole_text, line_column, line_count, line_test, may_match, needs_python, trigram_test
 from ..functions.expr import Plan
 
 MAX_HITS = 4096
@@ -30,8 +30,8 @@ def lines_of(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFr
     return docs.select(*keys, pieces).select(*keys, (F.col("_at") + 1).cast("long").alias("line"), F.rtrim("_raw", F.lit("\r")).alias("content"))
 
 
-def admitted(docs: DataFrame, query: str | Plan, text: str = "text", fold: bool = False, prefilter: bool = True) -> DataFrame:
-    test = may_match(query, F.col(text), fold) if prefilter else None
+def admitted(docs: DataFrame, query: str | Plan, text: str = "text", fold: bool = False, prefilter: bool = True, raw: bool = False) -> DataFrame:
+    test = may_match(query, F.col(text), fold, raw=raw) if prefilter else None
     return docs if test is None else docs.where(test)
 
 
@@ -39,11 +39,11 @@ def searchable(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.where(F.col(text).isNotNull() & ~is_binary(F.col(text)))
 
 
-def hits(docs: DataFrame, query: str | Plan, keys: Sequence[str] = ("doc_id",), text: str = "text", fold: bool = False, prefilter: bool = True, max_hits: int | None = None) -> DataFrame:
-    """keys, line, column, preview of every matching line; ``max_hits`` keeps the first ones by key and line."""
+def hits(docs: DataFrame, query: str | Plan, keys: Sequence[str] = ("doc_id",), text: str = "text", fold: bool = False, prefilter: bool = True, max_hits: int | None = None, raw: bool = False) -> DataFrame:
+    """keys, line, column, preview of every matching line (raw: the text is a byte view); ``max_hits`` keeps the first ones by key and line."""
     plan = as_plan(query)
-    rows = lines_of(admitted(searchable(docs, text), plan, text, fold, prefilter), keys, text).where(line_test(plan, F.col("content"), fold))
-    out = rows.select(*keys, "line", line_column(plan, F.col("content"), fold).cast("long").alias("column"), F.col("content").alias("preview"))
+    rows = lines_of(admitted(searchable(docs, text), plan, text, fold, prefilter, raw), keys, text).where(line_test(plan, F.col("content"), fold, raw))
+    out = rows.select(*keys, "line", line_column(plan, F.col("content"), fold, raw).cast("long").alias("column"), F.col("content").alias("preview"))
     return out if max_hits is None else out.orderBy(*keys, "line").limit(min(max_hits, MAX_HITS))
 
 
@@ -53,28 +53,38 @@ def matching_lines(docs: DataFrame, query: str | Plan, keys: Sequence[str] = ("d
     return rows.where(line_test(query, F.col("content"), fold)).groupBy(*keys).agg(F.count("*").alias("matches"))
 
 
-def count_matches(docs: DataFrame, query: str | Plan, text: str = "text", fold: bool = False, prefilter: bool = True) -> DataFrame:
+def count_matches(docs: DataFrame, query: str | Plan, text: str = "text", fold: bool = False, prefilter: bool = True, raw: bool = False) -> DataFrame:
     """One row: matches (occurrences for one literal or full regular expression, else matching lines).
 
     A literal is counted on whole texts without a split.
     """
-    plan, some = as_plan(query), admitted(searchable(docs, text), query, text, fold, prefilter)
+    plan, some = as_plan(query), admitted(searchable(docs, text), query, text, fold, prefilter, raw)
     if counts_whole_text(plan):
-        counted = some.select(line_count(plan, F.col(text), fold).alias("n"))
+        counted = some.select(line_count(plan, F.col(text), fold, raw).alias("n"))
     else:
-        counted = lines_of(some, [], text).select(line_count(plan, F.col("content"), fold).alias("n"))
+        counted = lines_of(some, [], text).select(line_count(plan, F.col("content"), fold, raw).alias("n"))
     return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("matches"))
 
 
-def report(docs: DataFrame, query: str | Plan, key: str = "doc_id", text: str = "text", fold: bool = False) -> DataFrame:
+def _matching(docs: DataFrame, plan: Plan, columns: dict[str, Column], text: str, fold: bool = False, raw: bool = False) -> DataFrame:
+    """``columns`` of each document and n, its number of matching lines (where ``admit`` holds)."""
+    pieces = F.split(F.col(text), "\n", -1)
+    if not needs_python(plan):
+        n = F.size(F.filter(pieces, lambda x: line_test(plan, F.rtrim(x, F.lit("\r")), fold, raw)))
+        return docs.select(*[c.alias(k) for k, c in columns.items()], F.when(columns["admit"], n).otherwise(0).alias("n"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *[c.alias(k) for k, c in columns.items()], F.explode(pieces).alias("_line"))
+    rows = rows.withColumn("_n", (F.col("admit") & line_test(plan, F.rtrim("_line", F.lit("\r")), fold, raw)).cast("int"))
+    return rows.groupBy("_row").agg(*[F.first(k).alias(k) for k in columns], F.sum("_n").alias("n")).drop("_row")
+
+
+def report(docs: DataFrame, query: str | Plan, key: str = "doc_id", text: str = "text", fold: bool = False, raw: bool = False) -> DataFrame:
     """One row of counters; pruned documents count as scanned, binary ones as skipped."""
     plan = as_plan(query)
-    test = may_match(plan, F.col(text), fold)
+    test = may_match(plan, F.col(text), fold, raw=raw)
     admit = F.lit(True) if test is None else test
-    pieces = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.rtrim(x, F.lit("\r")))
-    found = F.when(admit, F.size(F.filter(pieces, lambda x: line_test(plan, x, fold)))).otherwise(0)
-    size = F.octet_length(text).cast("long")
-    per = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), size.alias("bytes"), is_binary(F.col(text)).alias("skip"), admit.alias("admit"), found.alias("n"))
+    size = (F.length(text) if raw else F.octet_length(text)).cast("long")
+    columns = {"k": F.col(key), "bytes": size, "skip": is_binary(F.col(text)), "admit": admit}
+    per = _matching(docs.where(F.col(text).isNotNull()), plan, columns, text, fold, raw)
     ok = ~F.col("skip")
     largest = F.max(F.when(ok, F.struct(F.col("bytes"), (-F.col("k")).alias("k"))))
     return per.agg(
@@ -90,9 +100,7 @@ def prune_stats(docs: DataFrame, query: str | Plan, text: str = "text") -> DataF
     plan = as_plan(query)
     test = trigram_test(plan, F.col(text))
     admit = F.lit(True) if test is None else test
-    pieces = F.split(F.col(text), "\n", -1)
-    match = F.exists(pieces, lambda x: line_test(plan, F.rtrim(x, F.lit("\r"))))
-    per = searchable(docs, text).select(admit.alias("a"), F.octet_length(text).cast("long").alias("b"), match.alias("m"))
+    per = _matching(searchable(docs, text), plan, {"admit": F.lit(True), "a": admit, "b": F.octet_length(text).cast("long")}, text).withColumn("m", F.col("n") > 0)
     return per.agg(
         F.lit(test is not None).alias("eligible"), F.count("*").alias("checked"), F.count_if(~F.col("a")).alias("pruned"), F.coalesce(F.sum(F.when(~F.col("a"), F.col("b"))), F.lit(0)).alias("pruned_bytes"),
         F.count_if("a").alias("verified"), F.count_if(F.col("a") & F.col("m")).alias("matched"), F.count_if(~F.col("a") & F.col("m")).alias("lost"),

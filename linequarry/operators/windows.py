@@ -103,14 +103,14 @@ def window_report(docs: DataFrame, b: Bounds, keys: Sequence[str] = ("doc_id",),
     )
 
 
-def context(docs: DataFrame, query: str | Plan, before: int = 2, after: int = 2, keys: Sequence[str] = ("doc_id",), text: str = "text", first_lines: int | None = None) -> DataFrame:
+def context(docs: DataFrame, query: str | Plan, before: int = 2, after: int = 2, keys: Sequence[str] = ("doc_id",), text: str = "text", first_lines: int | None = None, raw: bool = False) -> DataFrame:
     """keys, line, role (match or context), content: matching lines with those around them, each line once."""
     plan = as_plan(query)
-    test = may_match(plan, F.col(text))
+    test = may_match(plan, F.col(text), raw=raw)
     rows = lines_of(docs if test is None else docs.where(test), keys, text)
     if first_lines is not None:
         rows = rows.where(F.col("line") <= first_lines)
-    rows = rows.withColumn("_m", line_test(plan, F.col("content")))
+    rows = rows.withColumn("_m", line_test(plan, F.col("content"), raw=raw))
     near = W.partitionBy(*keys).orderBy("line").rowsBetween(-after, before)
     rows = rows.withColumn("_near", F.max("_m").over(near)).where("_near")
     return rows.select(*keys, "line", F.when(F.col("_m"), "match").otherwise("context").alias("role"), "content")
