@@ -11,8 +11,14 @@ calling every unlabelled text clean.  pi is the share of toxic rows among the
 labelled training rows, or is given.
 
 Features are the distinct byte 4-grams inside words and the distinct words of
-the whole text, by 64-bit key; those whose share among P differs from that
-among U by ``min_z`` deviations enter the model, at most ``max_features``.
+the whole text, by 64-bit key.  The model takes those, at most
+``max_features``, that are over ``min_lift`` times as common among P as among
+clean texts (whose share follows from those in U and P and from pi) and too
+common for chance, given how many keys there are.  A key in under ``min_share``
+of P is left out: passages and copies that some toxic texts share would
+otherwise pass for toxic words.
+Slope and shift of the score are then set by the convex form of the same risk.
+
 The fit uses at most ``max_positive`` and ``max_unlabelled`` rows (by hash of
 their id); scoring is one map over all texts, without a shuffle.
 """
@@ -63,7 +69,7 @@ def _sigmoid(t):
     return 1 / (1 + np.exp(-np.clip(t, -60, 60)))
 
 
-def fit_nnpu(rows, cols, n_features, positive, prior, epochs=60, lr=0.1, l1=2e-4, seed=3):
+def fit_nnpu(rows, cols, n_features, positive, prior, epochs=800, lr=0.1, l1=0.02, batch=1 << 30, seed=3):
     """Weights and bias; rows, cols: coordinates of the present features, positive: mask over rows."""
     n = len(positive)
     w, b = np.zeros(n_features), np.log(prior / (1 - prior))
@@ -74,7 +80,7 @@ def fit_nnpu(rows, cols, n_features, positive, prior, epochs=60, lr=0.1, l1=2e-4
     rng = np.random.default_rng(seed)
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
     step = 0
-    batches = max(1, -(-len(unl) // 512))
+    batches = max(1, -(-len(unl) // batch))
     for epoch in range(epochs):
         groups = zip(np.array_split(rng.permutation(pos), batches), np.array_split(rng.permutation(unl), batches))
         for ps, us in groups:
@@ -101,11 +107,35 @@ def fit_nnpu(rows, cols, n_features, positive, prior, epochs=60, lr=0.1, l1=2e-4
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
             w -= move[:-1]
             b -= move[-1]
-            w = np.sign(w) * np.maximum(0, np.abs(w) - rate * l1)
+            w = np.maximum(0, w - rate * l1)  # keys were chosen as signs of toxicity, none may excuse a text
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from: Column, max_positive: int = 1500, max_unlabelled: int = 3000, max_features: int = 3000, min_z: float = 4.0, prior: float | None = None) -> dict:
+def calibrate(t, positive, prior, ridge=1e-3, steps=100):
+    """(slope, shift) of a score that minimise E_U[log(1 + exp(t))] - pi E_P[t], the convex form of the same risk."""
+    wp, wu = prior / max(1, positive.sum()), 1 / max(1, (~positive).sum())
+    x = np.stack([t, np.ones_like(t)], 1)
+    at = np.array([1.0, 0.0])
+
+    def risk(v):
+        s = x @ v
+        return wu * np.logaddexp(0, s[~positive]).sum() - wp * s[positive].sum() + 0.5 * ridge * (v - [1.0, 0.0]) @ (v - [1.0, 0.0])
+
+    for _ in range(steps):
+        p = _sigmoid(x @ at)
+        g = x[~positive].T @ (wu * p[~positive]) - wp * x[positive].sum(axis=0) + ridge * (at - [1.0, 0.0])
+        q = wu * (p * (1 - p))[~positive]
+        move = np.linalg.solve((x[~positive] * q[:, None]).T @ x[~positive] + ridge * np.eye(2), g)
+        rate = 1.0
+        while rate > 1e-6 and risk(at - rate * move) > risk(at):
+            rate /= 2
+        at = at - rate * move
+        if np.abs(rate * move).max() < 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column, max_positive: int = 1500, max_unlabelled: int = 6000, max_features: int = 3000, min_share: float = 0.02, margin: float = 0.5, min_lift: float = 4.0, prior: float | None = None) -> dict:
     """A model for ``scores``.  Without any confirmed toxic row it scores every text 0."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(learn_from)
     total, bad = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
@@ -129,15 +159,18 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, max_positive:
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in got["keys"]]
     np_, nu = max(1, int(flag.sum())), max(1, int((~flag).sum()))
     kp, cp = np.unique(np.concatenate([s for s, f in zip(sets, flag) if f]), return_counts=True)
-    kp, cp = kp[cp >= min(3, max(1, np_ // 8))], cp[cp >= min(3, max(1, np_ // 8))]
+    enough = cp >= max(min(3, max(1, np_ // 8)), min_share * np_)
+    kp, cp = kp[enough], cp[enough]
     cu = np.zeros(len(kp))
     for s, f in zip(sets, flag):
         if not f and len(s) and len(kp):
             i = np.searchsorted(kp, s)
             i[i == len(kp)] = 0
             cu[i[kp[i] == s]] += 1
-    share = (cp + cu) / (np_ + nu)
-    z = (cp / np_ - cu / nu) / np.sqrt(np.maximum(1e-12, share * (1 - share) * (1 / np_ + 1 / nu)))
+    clean = np.maximum(0, cu / nu - prior * cp / np_) / (1 - prior)  # the share among clean texts, as U holds toxic ones too
+    chance = np_ * (clean + 1 / nu)
+    z = np.where(cp > min_lift * chance, np.sqrt(2 * np.maximum(0, cp * np.log(np.maximum(cp, 1) / chance) - cp + chance)), 0)
+    min_z = margin + np.sqrt(2 * np.log(max(2, len(kp))))  # of so many keys, pure chance lifts hardly any that far
     best = np.argsort(-z, kind="stable")[:max_features]
     keys = np.sort(kp[best[z[best] >= min_z]])
     rows, cols = [], []
@@ -150,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, max_positive:
             rows.append(np.full(len(hit), k))
     rows, cols = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols))
     w, bias = fit_nnpu(rows, cols, len(keys), flag, prior)
-    return {"keys": keys[w != 0], "w": w[w != 0], "b": float(bias)}
+    slope, shift = calibrate(np.bincount(rows, w[cols], len(flag)) + bias if len(keys) else np.full(len(flag), bias), flag, prior)
+    w = w * slope
+    return {"keys": keys[w != 0], "w": w[w != 0], "b": float(bias * slope + shift)}
 
 
 def _score(model):
