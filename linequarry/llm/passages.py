@@ -11,8 +11,8 @@
    length plus the best earlier chain on both sides less a cost for the gap,
    found with prefix maxima in a Fenwick tree.
 4. Each chain, widened by the length of a window, is aligned word by word
-   (along its diagonal, or by banded local alignment if it shifts) to get the
-   exact borders and the identity of the passage.
+   (along its diagonal, and over the runs of equal words in a band around it)
+   to get the borders and the identity of the passage.
 
 Only documents that take part in a chain send text through a shuffle.  The
 earliest document keeps the passage.
@@ -188,58 +188,56 @@ def _slices(margin: int):
     return run
 
 
-def align(a, b, lo: int, hi: int):
-    """Best local alignment of two word arrays with a[i] ~ b[i - d], d in [lo, hi]: (start, end, matches) in a.
+def runs_in_band(a, b, lo: int, hi: int, least: int):
+    """Maximal runs of ``least`` equal words or more on the diagonals lo .. hi (a[i] ~ b[i - d]), as anchors sorted by start."""
+    width = hi - lo + 1
+    padded = np.zeros(len(a) + width - 1, np.uint64)
+    # row d of the strided view is b moved by lo + d; places outside b never equal
+    j0 = -hi
+    inside = np.zeros(len(padded), bool)
+    x, y = max(0, -j0), min(len(padded), len(b) - j0)
+    if y > x:
+        padded[x:y], inside[x:y] = b[x + j0 : y + j0], True
+    view = np.lib.stride_tricks.sliding_window_view(padded, len(a))[::-1]
+    same = (view == a) & np.lib.stride_tricks.sliding_window_view(inside, len(a))[::-1]
+    edge = np.zeros((width, len(a) + 2), np.int8)
+    edge[:, 1:-1] = same
+    step = np.diff(edge, axis=1)
+    d, s = np.nonzero(step == 1)
+    e = np.nonzero(step == -1)[1]
+    keep = e - s >= least
+    d, s, e = d[keep] + lo, s[keep], e[keep]
+    out = np.stack([s, e, s - d, e - d], 1)
+    return out[np.argsort(s, kind="stable")]
+
 
-    Scores: match 1, mismatch or skipped word -1.  One diagonal is a maximal
-    sum; several are filled row by row in a band.
+def align(a, b, lo: int, hi: int, slack: int = 4, least: int = 3):
+    """Local alignment of two word arrays near the diagonals lo .. hi: (start, end, equal words) in a.
+
+    On one diagonal it is a maximal sum of +1 for equal and -1 for other
+    words.  To allow for words left out or put in, the runs of equal words in a
+    band around the diagonals are chained as well, a skipped word costing half
+    a point on either side; the alignment with more equal words counts.
     """
     if not len(a) or not len(b):
         return 0, 0, 0
+    best = (0, 0, 0)
     if lo == hi:
         i0, i1 = max(0, lo), min(len(a), len(b) + lo)
-        if i1 <= i0:
-            return 0, 0, 0
-        same = a[i0:i1] == b[i0 - lo : i1 - lo]
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -1))])
-        low = np.minimum.accumulate(total)
-        e = int(np.argmax(total[1:] - low[:-1])) + 1
-        s = int(np.flatnonzero(total[:e] == low[e - 1])[-1])
-        return i0 + s, i0 + e, int(same[s:e].sum())
-    width = hi - lo + 1
-    col = np.arange(width)
-    score = np.zeros(width, np.int64)  # by diagonal d = lo + c: cell (i, i - d)
-    start = np.full(width, -1, np.int64)
-    match = np.zeros(width, np.int64)
-    best = (0, 0, 0, 0)
-    for i in range(len(a)):
-        j = i - lo - col
-        ok = (j >= 0) & (j < len(b))
-        same = np.zeros(width, bool)
-        same[ok] = b[j[ok]] == a[i]
-        # along the diagonal: a[i] against b[j]
-        now = score + np.where(same, 1, -1)
-        frm, got = np.where(score > 0, start, i), np.where(score > 0, match, 0) + same
-        # skipping a[i] keeps j: the cell one diagonal lower in the row before
-        skip = np.append(-1, score[:-1] - 1)
-        up = skip > now
-        now = np.where(up, skip, now)
-        frm, got = np.where(up, np.append(-1, start[:-1]), frm), np.where(up, np.append(0, match[:-1]), got)
-        now[~ok] = -1
-        # skipping words of b moves to lower diagonals within the row
-        lift = now[::-1] + np.arange(width)
-        top = np.maximum.accumulate(lift)
-        arg = np.maximum.accumulate(np.where(lift == top, np.arange(width), 0))
-        side = (top - np.arange(width))[::-1]
-        src = (width - 1 - arg)[::-1]
-        better = side > now
-        now, frm, got = np.where(better, side, now), np.where(better, frm[src], frm), np.where(better, got[src], got)
-        dead = (now <= 0) | ~ok
-        score, start, match = np.where(dead, 0, now), np.where(dead, -1, frm), np.where(dead, 0, got)
-        c = int(np.argmax(score))
-        if score[c] > best[0]:
-            best = (int(score[c]), int(start[c]), i + 1, int(match[c]))
-    return best[1], best[2], best[3]
+        if i1 > i0:
+            same = a[i0:i1] == b[i0 - lo : i1 - lo]
+            total = np.concatenate([[0], np.cumsum(np.where(same, 1, -1))])
+            low = np.minimum.accumulate(total)
+            e = int(np.argmax(total[1:] - low[:-1])) + 1
+            s = int(np.flatnonzero(total[:e] == low[e - 1])[-1])
+            best = (i0 + s, i0 + e, int(same[s:e].sum()))
+    runs = runs_in_band(a, b, lo - slack, hi + slack, least)
+    if len(runs):
+        chain = chains_of(runs, 0.5, hi - lo + 2 * slack)[0]
+        got = (int(chain[0, 0]), int(chain[-1, 1]), int((chain[:, 1] - chain[:, 0]).sum()))
+        if got[2] > best[2]:
+            best = got
+    return best
 
 
 def _align(min_words: int, percent: int, slack: int):
@@ -252,13 +250,7 @@ def _align(min_words: int, percent: int, slack: int):
                 b = np.frombuffer(batch["rwords"][x].as_buffer(), np.uint64)
                 base = int(get["from"][x] - get["rfrom"][x])
                 lo, hi = int(get["lo"][x]) - base, int(get["hi"][x]) - base
-                s, e, same = align(a, b, lo, hi)
-                if lo == hi and (e - s < len(a) - 2 * slack or e - s < min_words):
-                    again = align(a, b, lo - slack, hi + slack)
-                    if again[2] > same:
-                        s, e, same = again
-                elif lo != hi:
-                    s, e, same = align(a, b, lo - slack, hi + slack)
+                s, e, same = align(a, b, lo, hi, slack)
                 if e - s >= min_words and 100 * same >= percent * (e - s):
                     rows.append((get["id"][x], get["from"][x] + s, get["from"][x] + e, same, get["rid"][x]))
             cols = np.array(rows, np.int64).reshape(-1, 5).T
