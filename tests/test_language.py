@@ -100,3 +100,21 @@ def test_grep_translation():
         lower_patterns(["a||b"], False, False)
     with pytest.raises(QueryError):
         translate(["--glob", "x"])
+
+
+def test_one_regex_for_a_query():
+    import re
+
+    from linequarry.functions.infer import as_regex
+
+    assert re.search(as_regex("lit:b && lit:a"), "a b") and not re.search(as_regex("lit:b && lit:a"), "a")
+    assert re.search(as_regex("prefix:x. || suffix:y"), "ay") and not re.search(as_regex("prefix:x. || suffix:y"), "xay!")
+    assert as_regex("a && b && c && d") is None
+
+
+def test_median_of_samples():
+    from linequarry.plans.measure import median_of
+
+    calls = []
+    ms, last = median_of(lambda: calls.append(1) or len(calls), warmups=2, samples=3)
+    assert len(calls) == 5 and ms >= 0 and last in (3, 4, 5)
