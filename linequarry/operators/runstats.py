@@ -214,8 +214,14 @@ def health(runs: DataFrame) -> DataFrame:
     """One row: drift of the recent median, its direction, penalties, score, grade, class."""
     r = derive(runs)
     n = recent_runs(runs, RECENT)
-    o = series(r, "ratio").crossJoin(run_set(runs)).select(F.col("median").alias("om"), F.col("p95").alias("o95"), F.col("cv_pct").alias("ocv"), F.col("slower_pct").alias("os"))
-    t = series(derive(n), "ratio").crossJoin(run_set(n)).select(F.col("median").alias("rm"), F.col("p95").alias("r95"), F.col("cv_pct").alias("rcv"), F.col("slower_pct").alias("rs"))
+
+    def brief(some: DataFrame, raw: DataFrame, p: str) -> DataFrame:
+        cv = _finite(some, "ratio").agg(F.coalesce(F.stddev_pop("ratio") / F.nullif(F.avg("ratio"), F.lit(0.0)) * 100, F.lit(0.0)).alias(f"{p}cv"))
+        slow = raw.agg((F.count_if(F.col("ratio") > 1) / F.count("*") * 100).alias(f"{p}s"))
+        return ranks(some, "ratio", [], {f"{p}m": 50, f"{p}95": 95}).crossJoin(cv).crossJoin(slow)
+
+    o, late = brief(r, r, "o"), derive(n)
+    t = brief(late, late, "r")
     x = o.crossJoin(t).crossJoin(outlier_summary(runs).select("outlier_pct"))
 
     def over(c, limit):
