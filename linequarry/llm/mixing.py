@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import Scratch
+
 STEPS = 4096
 
 
@@ -105,7 +107,9 @@ def plan(docs: DataFrame, budget: float | None = None, max_epochs: float | None
     own = [c for c in docs.columns if c not in made]
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     base = docs.select(*own, key.alias("source_key"), count_words(F.col(text_col)).alias("mix_tokens"))
-    totals = source_totals(base.select("source_key", F.col("mix_tokens").alias("n_tokens")))
+    # texts are counted once for all totals, and once more for the copies themselves
+    narrow = Scratch(docs.sparkSession).keep(base.select("source_key", F.col(id_col).cast("string").alias("_id"), "mix_tokens"))
+    totals = source_totals(narrow.select("source_key", F.col("mix_tokens").alias("n_tokens")))
     step = find_exponent(totals, budget, max_epochs, min_entropy)
     w = F.when(F.col("tokens") > 0, F.pow("share", F.lit(step / STEPS))).otherwise(F.lit(0.0))
     weights = totals.withColumn("w", w)
@@ -119,10 +123,18 @@ def plan(docs: DataFrame, budget: float | None = None, max_epochs: float | None
     last = F.when((F.col("tokens") > 0) & (F.col("rest") > 0), F.col("full")).otherwise(F.col("full") - 1)
     weights = weights.withColumn("last", last).withColumn("slices", F.ceil(F.col("n_docs") / slice_rows).cast("long")).where("last >= 0")
 
-    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "source_key", F.col("mix_epoch").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+    def place(name: str):
+        text = F.concat_ws("|", F.lit(str(seed)), "source_key", F.col("mix_epoch").cast("string"), F.coalesce(F.col(name).cast("string"), F.lit("")))
+        return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
     shape = weights.select(F.col("source_key").alias("_s"), "tokens", "weight", "full", "rest", "last", "slices")
-    copies = base.join(F.broadcast(shape) if _few(weights) else shape, F.col("source_key") == F.col("_s")).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    copies = copies.withColumn("_p", place).withColumn("slice", F.floor(F.col("_p") / F.lit(float(1 << 52)) * F.col("slices")).cast("long"))
+    shape = F.broadcast(shape) if _few(weights) else shape
+
+    def copies_of(rows: DataFrame, name: str) -> DataFrame:
+        out = rows.join(shape, F.col("source_key") == F.col("_s")).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        return out.withColumn("_p", place(name)).withColumn("slice", F.floor(F.col("_p") / F.lit(float(1 << 52)) * F.col("slices")).cast("long"))
+
+    copies = copies_of(base, id_col)
 
     def slice_sums(rows: DataFrame) -> DataFrame:
         per = rows.groupBy("source_key", "mix_epoch", "slice").agg(F.sum("mix_tokens").alias("t"))
@@ -131,8 +143,7 @@ def plan(docs: DataFrame, budget: float | None = None, max_epochs: float | None
 
     inside = W.partitionBy("source_key", "mix_epoch", "slice").orderBy("_p", id_col, "mix_tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = copies.withColumn("run", F.sum("mix_tokens").over(inside))
-    narrow = copies.select("source_key", "mix_epoch", "slice", "mix_tokens")
-    sums = slice_sums(narrow)
+    sums = slice_sums(copies_of(narrow, "_id").select("source_key", "mix_epoch", "slice", "mix_tokens"))
     out = placed.join(sums, (placed.source_key == sums._k) & (placed.mix_epoch == sums._e) & (placed.slice == sums._sl))
     done = F.col("before") + F.col("run")
     out = out.where((F.col("mix_epoch") < F.col("full")) | (done <= F.col("rest") + 1e-6))
