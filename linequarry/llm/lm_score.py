@@ -2,8 +2,8 @@
 
 * Word counts come from all training texts: every task reduces its words to
   distinct (hash, count) rows, Spark adds them up.
-* The ``head`` most frequent words (a fixed number) travel to the tasks; every
-  other word of a text goes into a join with the table of counts, as one row
+* The most frequent words, at most ``head``, travel to the tasks; every other
+  word of a text goes into a join with the table of counts, as one row
   per text and distinct word.  These words are all rare, so the join is even.
 * The recurrent model knows the ``vocab`` most frequent words; the others are
   its rare class, shared out by (c + 1) / Z, with one share for all unseen
@@ -192,7 +192,11 @@ def score_documents(docs: DataFrame, learn_from: Column, id_col: str = "doc_id",
     ).first()
     counts = counts.where("h is not null")
     n, v = n_words + n_docs, distinct + (n_docs > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()
+    # the head: all words at least as frequent as the rank ``head`` allows; found from the table of counts of counts,
+    # which is small (n tokens have fewer than sqrt(2 n) different counts), so no task sorts the vocabulary
+    sizes = counts.groupBy("c").agg(F.count("*").alias("k")).toPandas().sort_values("c", ascending=False)
+    fits = sizes["c"][sizes["k"].cumsum() <= head]
+    top = counts.where(F.col("c") >= F.lit(int(fits.min()) if len(fits) else 1 << 62)).toArrow()
     keys, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy().astype(np.int64)
     order = np.lexsort((keys.view(np.int64), -c))
     keys, c = keys[order], c[order]
