@@ -150,11 +150,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # copies: the least id of each set stands for it
     some = feats.where("n > 0 and id is not null")
     rep = some.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
+    rep = scratch.keep(rep)  # a table of its own, so that the join may split a large group of copies
     member = scratch.keep(some.select("id", "n", "f1", "f2").join(rep, ["n", "f1", "f2"]).select("id", "rep").distinct())
     unique = some.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "f1", "f2"])
 
     bucketed = unique.select("id", F.posexplode("keys").alias("band", "bucket")).select("id", "bucket", F.xxhash64("id", "band").alias("r"))
     centres = bucketed.groupBy("bucket").agg(F.min_by("id", "r").alias("c1"), F.max_by("id", "r").alias("c2")).where("c1 <> c2")
+    centres = scratch.keep(centres)
     in_bucket = scratch.keep(bucketed.select("id", "bucket").join(centres, "bucket"))
     pairs = in_bucket.select("id", F.explode(F.array("c1", "c2")).alias("c")).where("id <> c")
     pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()

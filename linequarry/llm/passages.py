@@ -272,6 +272,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     seeds = base.mapInArrow(_seeds(k, w), "id long, pos int, seed long")
     first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("most")).where("f.id < most").select("seed", F.col("f.id").alias("rid"), F.col("f.pos").alias("rpos"))
+    first = scratch.keep(first)  # a table of its own, so that the join may split a hot seed
     matches = seeds.join(first, "seed").where("id <> rid").select("id", "rid", "pos", "rpos").distinct()
     least = max(k, min_words - 2 * (w + slack))
     grouped = matches.repartition("id", "rid").sortWithinPartitions("id", "rid")

@@ -216,6 +216,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id"
     feats = scratch.keep(base.mapInArrow(_unpack(wide), "id long, f1 long, f2 long, dim long, vec binary"))
     usable = feats.where("dim is not null and id is not null")
     reps = usable.groupBy("f1", "f2", "dim").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
+    reps = scratch.keep(reps)  # a table of its own, so that the join may split a large group of copies
     member = scratch.keep(usable.select("id", "f1", "f2", "dim").join(reps, ["f1", "f2", "dim"]).select("id", "rep", "mult"))
     firsts = member.where("id = rep").select("id", "mult").distinct()
     unique = scratch.keep(usable.select("id", "dim", "vec").join(firsts, "id").dropDuplicates(["id"]).select("id", "mult", "dim", "vec"))
