@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch, broadcast_if_small
+from .tables import Scratch, broadcast_if_small, small_batches
 from .textops import Tokenizer, chunks, random_u64, shingle_hashes
 
 BASE = 16
@@ -136,6 +136,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     documents and one result for repeated (id, text) items.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
     schema = "doc_id long, item_id long, n_item long, n_shared long"

@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batch size to ``rows``: a batch of whole texts or sets then takes megabytes, not hundreds of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Tables written by one run of an operator.
 
@@ -34,6 +41,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self._remove, self.root)

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
 from .textops import LOWER, Tokenizer, binary_array, chunks, mix64
 
 GRAM = 4
@@ -137,6 +138,7 @@ def calibrate(t, positive, prior, ridge=1e-3, steps=100):
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, max_positive: int = 1500, max_unlabelled: int = 6000, max_features: int = 3000, min_share: float = 0.02, margin: float = 0.5, min_lift: float = 4.0, prior: float | None = None) -> dict:
     """A model for ``scores``.  Without any confirmed toxic row it scores every text 0."""
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(learn_from)
     total, bad = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     if not bad:
