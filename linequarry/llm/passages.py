@@ -9,7 +9,7 @@
 3. The matches of a document with one earlier document are merged to anchors
    along diagonals and chained: the best chain ending at an anchor is its
    length plus the best earlier chain on both sides less a cost for the gap,
-   found with prefix maxima in a Fenwick tree.
+   found with prefix maxima in a Fenwick tree for each diagonal in reach.
 4. Each chain, widened by the length of a window, is aligned word by word
    (along its diagonal, and over the runs of equal words in a band around it)
    to get the borders and the identity of the passage.
@@ -20,6 +20,8 @@ earliest document keeps the passage.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,30 +105,31 @@ def chains_of(anchors, cost: float, max_shift: int):
     """Disjoint chains of anchors, each a list of rows, best first.
 
     An anchor may follow one that ends before it on both sides; the gap costs
-    ``cost`` per word skipped on either side.
+    ``cost`` per word skipped on either side.  Only anchors whose diagonal is
+    at most ``max_shift`` away are looked up, so a better anchor on a far one
+    hides none of them.
     """
     n = len(anchors)
     if n == 1:
         return [anchors]
-    ends = np.unique(anchors[:, 3])
-    tree, score, before = _Fenwick(len(ends)), np.zeros(n), np.full(n, -1)
-    by_end = np.argsort(anchors[:, 1], kind="stable")
-    placed = 0
-    rank_end = np.searchsorted(ends, anchors[:, 3])
-    rank_start = np.searchsorted(ends, anchors[:, 2], "right")
-    # anchors are taken by start; those that end at or before it are in the tree by then
-    for i in range(n):
-        s, e, rs, re_ = anchors[i]
-        while placed < n and anchors[by_end[placed], 1] <= s:
-            j = by_end[placed]
-            tree.put(int(rank_end[j]), (score[j] + cost * (anchors[j, 1] + anchors[j, 3]), int(j)))
-            placed += 1
-        value, j = tree.top(int(rank_start[i]))
+    score, before = np.zeros(n), np.full(n, -1)
+    # a tree for each diagonal, over its anchors by end: they are disjoint, so by start as well
+    on = anchors[:, 0] - anchors[:, 2]
+    ends = {int(d): anchors[on == d, 1].tolist() for d in np.unique(on)}
+    trees, held = {d: _Fenwick(len(e)) for d, e in ends.items()}, dict.fromkeys(ends, 0)
+    near = {d: [x for x in range(d - max_shift, d + max_shift + 1) if x in ends] if len(ends) > 2 * max_shift else [x for x in ends if abs(x - d) <= max_shift] for d in ends}
+    # anchors are taken by start; those that end at or before it are in the trees by then
+    for i, (s, e, rs, re_) in enumerate(anchors.tolist()):
+        value, j = -1e18, -1
+        for d in near[s - rs]:
+            value, j = max((value, j), trees[d].top(bisect_right(ends[d], min(s, rs + d))))
         gain = value - cost * (s + rs)
         score[i] = e - s
-        if j >= 0 and gain > 0 and abs((s - rs) - (anchors[j, 1] - anchors[j, 3])) <= max_shift:
+        if j >= 0 and gain > 0:
             score[i] += gain
             before[i] = j
+        trees[s - rs].put(held[s - rs], (score[i] + cost * (e + re_), i))
+        held[s - rs] += 1
     used, out = np.zeros(n, bool), []
     for i in np.argsort(-score, kind="stable"):
         chain = []

@@ -202,3 +202,12 @@ def test_benchmark_items(spark):
     left = {r.doc_id for r in decontaminate.drop_contaminated(d, i).collect()}
     assert left == (set(docs) | {80, 81}) - {a for a, *_ in want}
     assert decontaminate.contained_items(d, i.where("item_id > 99")).count() == 0
+
+
+def test_chains_are_not_hidden_by_a_far_diagonal():
+    far = [[0, 300, 0, 300]]
+    fuzzy = [[450 + 14 * k, 461 + 14 * k, 300 + 13 * k, 311 + 13 * k] for k in range(8)]
+    got = passages.chains_of(np.array(far + fuzzy), 0.1, 12)
+    assert [c.tolist() for c in got] == [far, fuzzy]
+    # without the far anchor the same chain
+    assert [c.tolist() for c in passages.chains_of(np.array(fuzzy), 0.1, 12)] == [fuzzy]
