@@ -10,9 +10,10 @@
    along diagonals and chained: the best chain ending at an anchor is its
    length plus the best earlier chain on both sides less a cost for the gap,
    found with prefix maxima in a Fenwick tree for each diagonal in reach.
-4. Each chain, widened by the length of a window, is aligned word by word
-   (along its diagonal, and over the runs of equal words in a band around it)
-   to get the borders and the identity of the passage.
+4. Each chain, a single seed too, is widened and aligned word by word (along
+   its diagonal, and over the runs of equal words in a band around it) to get
+   the borders and the identity of the passage; where the passage runs on to
+   the end of what was read, more is read.
 
 Only documents that take part in a chain send text through a shuffle.  The
 earliest document keeps the passage.
@@ -142,18 +143,15 @@ def chains_of(anchors, cost: float, max_shift: int):
     return out
 
 
-def _chain(k: int, w: int, least: int, cost: float, max_shift: int):
+def _chain(k: int, join: int, cost: float, max_shift: int):
     def run(batches):
         rows = []
         for key, t in runs_of_keys(batches, 2):
             pos, rpos = t["pos"].to_numpy().astype(np.int64), t["rpos"].to_numpy().astype(np.int64)
-            if pos.max() - pos.min() + k < least:
-                continue
-            for chain in chains_of(anchors_of(pos, rpos, k, k + w), cost, max_shift):
+            for chain in chains_of(anchors_of(pos, rpos, k, join), cost, max_shift):
                 s, e, rs, re_ = chain[:, 0].min(), chain[:, 1].max(), chain[:, 2].min(), chain[:, 3].max()
-                if e - s >= least:
-                    shift = chain[:, 0] - chain[:, 2]
-                    rows.append((*key, s, e, rs, re_, shift.min(), shift.max()))
+                shift = chain[:, 0] - chain[:, 2]
+                rows.append((*key, s, e, rs, re_, shift.min(), shift.max()))
             if len(rows) > 20_000:
                 yield _chain_rows(rows)
                 rows = []
@@ -171,30 +169,19 @@ def _chain_rows(rows):
     return pa.record_batch([pa.array(c) for c in cols], names=_CHAIN)
 
 
-def _slices(margin: int):
-    """Rows (..., s, e, text) become (..., words of [s - margin, e + margin) as bytes, first)."""
-
-    def run(batches):
-        tok = Tokenizer()
-        for batch in batches:
-            for i, j, buf, off in chunks(batch.column(batch.num_columns - 1)):
-                words = tok.words(buf, off)
-                part = batch.slice(i, j - i)
-                s, e = part["s"].to_numpy(), part["e"].to_numpy()
-                first = words.first
-                a = first[:-1] + np.maximum(0, s - margin)
-                b = np.minimum(first[1:], first[:-1] + e + margin)
-                data = [words.hash[x:y] for x, y in zip(a, b)]
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-                yield pa.record_batch([*part.columns[:-1], pa.array(np.maximum(0, s - margin)), binary_array(np.concatenate(data), bounds)], names=[*part.schema.names[:-1], "from", "words"])
-
-    return run
+def _codes(batches):
+    """Rows (id, text) become (id, words), four bytes of the hash of each word."""
+    tok = Tokenizer()
+    for batch in batches:
+        for i, j, buf, off in chunks(batch.column(1)):
+            words = tok.words(buf, off)
+            yield pa.record_batch([batch.column(0).slice(i, j - i), binary_array((words.hash >> np.uint64(32)).astype(np.uint32), words.first)], names=["id", "words"])
 
 
 def runs_in_band(a, b, lo: int, hi: int, least: int):
     """Maximal runs of ``least`` equal words or more on the diagonals lo .. hi (a[i] ~ b[i - d]), as anchors sorted by start."""
     width = hi - lo + 1
-    padded = np.zeros(len(a) + width - 1, np.uint64)
+    padded = np.zeros(len(a) + width - 1, a.dtype)
     # row d of the strided view is b moved by lo + d; places outside b never equal
     j0 = -hi
     inside = np.zeros(len(padded), bool)
@@ -214,13 +201,14 @@ def runs_in_band(a, b, lo: int, hi: int, least: int):
     return out[np.argsort(s, kind="stable")]
 
 
-def align(a, b, lo: int, hi: int, slack: int = 4, least: int = 3):
+def align(a, b, lo: int, hi: int, slack: int = 4, least: int = 3, need: int = 0):
     """Local alignment of two word arrays near the diagonals lo .. hi: (start, end, equal words) in a.
 
     On one diagonal it is a maximal sum of +1 for equal and -1 for other
     words.  To allow for words left out or put in, the runs of equal words in a
     band around the diagonals are chained as well, a skipped word costing half
-    a point on either side; the alignment with more equal words counts.
+    a point on either side; the alignment with more equal words counts.  Runs
+    that do not come to ``need`` words in all are not chained.
     """
     if not len(a) or not len(b):
         return 0, 0, 0
@@ -235,7 +223,7 @@ def align(a, b, lo: int, hi: int, slack: int = 4, least: int = 3):
             s = int(np.flatnonzero(total[:e] == low[e - 1])[-1])
             best = (i0 + s, i0 + e, int(same[s:e].sum()))
     runs = runs_in_band(a, b, lo - slack, hi + slack, least)
-    if len(runs):
+    if len(runs) and (runs[:, 1] - runs[:, 0]).sum() >= need:
         chain = chains_of(runs, 0.5, hi - lo + 2 * slack)[0]
         got = (int(chain[0, 0]), int(chain[-1, 1]), int((chain[:, 1] - chain[:, 0]).sum()))
         if got[2] > best[2]:
@@ -243,26 +231,47 @@ def align(a, b, lo: int, hi: int, slack: int = 4, least: int = 3):
     return best
 
 
-def _align(min_words: int, percent: int, slack: int):
+_FOUND = [*_CHAIN, "at", "end", "same"]
+
+
+def _align(min_words: int, percent: int, slack: int, edge: int = 32):
+    """Rows of a chain and two slices of words become rows of _FOUND and ``open``: the alignment comes near a cut of both slices."""
+    need = -(-min_words * percent // 100)
+
     def run(batches):
         for batch in batches:
-            rows = []
-            get = {n: batch.column(n).to_numpy() for n in ("id", "rid", "from", "rfrom", "lo", "hi")}
+            rows, more = [], []
+            get = {n: batch.column(n).to_numpy() for n in (*_CHAIN, "from", "rfrom", "n", "rn")}
             for x in range(batch.num_rows):
-                a = np.frombuffer(batch["words"][x].as_buffer(), np.uint64)
-                b = np.frombuffer(batch["rwords"][x].as_buffer(), np.uint64)
-                base = int(get["from"][x] - get["rfrom"][x])
-                lo, hi = int(get["lo"][x]) - base, int(get["hi"][x]) - base
-                s, e, same = align(a, b, lo, hi, slack)
-                if e - s >= min_words and 100 * same >= percent * (e - s):
-                    rows.append((get["id"][x], get["from"][x] + s, get["from"][x] + e, same, get["rid"][x]))
-            cols = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.record_batch([pa.array(c) for c in cols], names=["id", "s", "e", "same", "rid"])
+                a = np.frombuffer(batch["words"][x].as_buffer(), np.uint32)
+                b = np.frombuffer(batch["rwords"][x].as_buffer(), np.uint32)
+                f, rf = int(get["from"][x]), int(get["rfrom"][x])
+                lo, hi = int(get["lo"][x]) - f + rf, int(get["hi"][x]) - f + rf
+                s, e, same = align(a, b, lo, hi, slack, need=need)
+                right = f + len(a) < get["n"][x] and rf + len(b) < get["rn"][x] and e > len(a) - edge
+                left = f > 0 and rf > 0 and s < edge
+                grows = e > s and (left or right)
+                if grows or (e - s >= min_words and 100 * same >= percent * (e - s)):
+                    rows.append((*(get[c][x] for c in _CHAIN), f + s, f + e, same))
+                    more.append(grows)
+            cols = np.array(rows, np.int64).reshape(-1, len(_FOUND)).T
+            yield pa.record_batch([*(pa.array(c) for c in cols), pa.array(more, pa.bool_())], names=[*_FOUND, "open"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, w: int = 12, min_words: int = 50, percent: int = 80, cost: float = 0.1, max_shift: int = 12, slack: int = 4) -> DataFrame:
+def _outermost(batches):
+    """Rows (id, rid, at, end, same) sorted by the ids, without those that lie inside another one of their pair."""
+    for key, t in runs_of_keys(batches, 2):
+        s, e, same = (t[c].to_numpy() for c in ("at", "end", "same"))
+        order = np.lexsort((-same, -e, s))
+        last = np.append(-1, np.maximum.accumulate(e[order])[:-1])
+        keep = order[e[order] > last]
+        n = len(keep)
+        yield pa.record_batch([pa.array([v] * n, pa.int64()) for v in key] + [pa.array(c[keep]) for c in (s, e, same)], names=["id", "rid", "at", "end", "same"])
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, w: int = 4, min_words: int = 50, percent: int = 80, cost: float = 0.1, max_shift: int = 12, slack: int = 4, margin: int = 60) -> DataFrame:
     """One row per repeated passage of a later document: id, start_word, end_word, n_same, first_id.
 
     Words are counted from 0; n_same of the end_word - start_word words equal
@@ -277,22 +286,32 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("most")).where("f.id < most").select("seed", F.col("f.id").alias("rid"), F.col("f.pos").alias("rpos"))
     first = scratch.keep(first)  # a table of its own, so that the join may split a hot seed
     matches = seeds.join(first, "seed").where("id <> rid").select("id", "rid", "pos", "rpos").distinct()
-    least = max(k, min_words - 2 * (w + slack))
     grouped = matches.repartition("id", "rid").sortWithinPartitions("id", "rid")
-    chains = scratch.keep(grouped.mapInArrow(_chain(k, w, least, cost, max_shift), ", ".join(f"{c} long" for c in _CHAIN)))
+    chains = scratch.keep(grouped.mapInArrow(_chain(k, k + w, cost, max_shift), ", ".join(f"{c} long" for c in _CHAIN)))
 
     wanted = scratch.keep(chains.select("id").union(chains.select("rid")).distinct())
-    texts = base.join(broadcast_if_small(wanted), "id", "left_semi").dropDuplicates(["id"])
-    texts = scratch.keep(texts)
-    margin = w + k
-    keys = [c for c in _CHAIN if c != "id"]
-    own = chains.join(texts, "id").select("id", *keys, "text").mapInArrow(_slices(margin), ", ".join(f"{c} long" for c in ["id", *keys, "from"]) + ", words binary")
-    refs = chains.select(F.col("rid").alias("id"), F.col("rs").alias("s"), F.col("re").alias("e")).distinct()
-    refs = refs.join(texts, "id").select("id", "s", "e", "text").mapInArrow(_slices(margin), "id long, s long, e long, from long, words binary")
-    refs = refs.select(F.col("id").alias("xid"), F.col("s").alias("xs"), F.col("e").alias("xe"), F.col("from").alias("rfrom"), F.col("words").alias("rwords"))
-    both = own.join(refs, (own.rid == refs.xid) & (own.rs == refs.xs) & (own.re == refs.xe)).select("id", "rid", "from", "rfrom", "lo", "hi", "words", "rwords")
-    out = both.mapInArrow(_align(min_words, percent, slack), "id long, s long, e long, same long, rid long")
-    return out.select(F.col("id").alias(id_col), F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("same").alias("n_same"), F.col("rid").alias("first_id"))
+    codes = base.join(broadcast_if_small(wanted), "id", "left_semi").mapInArrow(_codes, "id long, words binary").dropDuplicates(["id"])
+    codes = scratch.keep(codes)
+
+    def part(words: str, s: str, e: str, m: int, name: str):
+        """Words [s - m, e + m) of a document, their start and the number of its words."""
+        start = f"greatest(0, {s} - {m})"
+        return F.expr(f"{start} {name}from"), F.expr(f"substring({words}, cast(4 * {start} + 1 as int), cast(4 * ({e} + {m} - {start}) as int)) {name}words"), F.expr(f"cast(length({words}) div 4 as long) {name}n")
+
+    ref = codes.select(F.col("id").alias("xid"), F.col("words").alias("xwords"))
+    todo, parts = chains, []
+    while not parts or todo.head(1):
+        own = todo.join(codes, "id").select(*_CHAIN, *part("words", "s", "e", margin, ""))
+        both = own.join(ref, own.rid == ref.xid).select(*own.columns, *part("xwords", "rs", "re", margin, "r"))
+        got = scratch.keep(both.mapInArrow(_align(min_words, percent, slack), ", ".join(f"{c} long" for c in _FOUND) + ", open boolean"))
+        parts.append(got.where("not open").select("id", "rid", "at", "end", "same"))
+        # passages that run on beyond their slices are aligned anew in wider ones
+        todo, margin = got.where("open").select(*_CHAIN), 4 * margin
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    out = out.repartition("id", "rid").sortWithinPartitions("id", "rid").mapInArrow(_outermost, "id long, rid long, at long, end long, same long")
+    return out.select(F.col("id").alias(id_col), F.col("at").alias("start_word"), F.col("end").alias("end_word"), F.col("same").alias("n_same"), F.col("rid").alias("first_id"))
 
 
 def _cut(text_at: int, spans_at: int):

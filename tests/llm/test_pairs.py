@@ -211,3 +211,32 @@ def test_chains_are_not_hidden_by_a_far_diagonal():
     assert [c.tolist() for c in got] == [far, fuzzy]
     # without the far anchor the same chain
     assert [c.tolist() for c in passages.chains_of(np.array(fuzzy), 0.1, 12)] == [fuzzy]
+
+
+def test_fuzzy_passages_are_found(spark):
+    rng = random.Random(8)
+    for percent, floor in ((82, 0.9), (85, 0.95), (90, 0.97)):
+        rows, spans = [], {}
+        for k in range(100):
+            p = prose(rng, 60, 10**6)
+            q = list(p)
+            for x in rng.sample(range(60), 60 - 60 * percent // 100):
+                q[x] = "other"
+            at = rng.randrange(100)
+            rows.append((2 * k, " ".join(prose(rng, 80, 10**6) + p + prose(rng, 80, 10**6))))
+            rows.append((2 * k + 1, " ".join(prose(rng, at, 10**6) + q + prose(rng, 80, 10**6))))
+            spans[2 * k + 1] = set(range(at, at + 60))
+        got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(r.first_id == r.doc_id - 1 and set(range(r.start_word, r.end_word)) <= spans[r.doc_id] for r in got)
+        found = {r.doc_id for r in got}
+        print(percent, len(found))
+        assert len(found) >= floor * 100
+
+
+def test_long_passages_extend_past_the_margin(spark):
+    rng = random.Random(9)
+    p = prose(rng, 900, 10**6)
+    q = [x if n % 6 or 400 <= n < 410 else "other" for n, x in enumerate(p)]
+    rows = [(1, " ".join(prose(rng, 30, 10**6) + p)), (2, " ".join(prose(rng, 50, 10**6) + q + prose(rng, 20, 10**6)))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), k=8).collect()
+    assert len(got) == 1 and got[0].first_id == 1 and got[0].start_word <= 53 and got[0].end_word >= 947
