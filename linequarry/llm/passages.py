@@ -6,6 +6,9 @@
 2. A seed that several documents hold links each of its places to its first
    one (least document id, then least position): a star, not all pairs, so a
    passage that a third of all documents share costs one match per place.
+   Longer runs (``context``) are seeds of their own: where the short ones of a
+   passage stand in earlier documents one by one, the long ones still link it
+   to the first document that holds them in this order.
 3. The matches of a document with one earlier document are merged to anchors
    along diagonals and chained: the best chain ending at an anchor is its
    length plus the best earlier chain on both sides less a cost for the gap,
@@ -33,34 +36,42 @@ from .textops import Tokenizer, binary_array, chunks, shingle_hashes
 from .vectors import runs_of_keys
 
 
-def _seeds(k: int, w: int):
+def _minimizers(words, n_docs: int, k: int, w: int):
+    """(document, place in it, hash) of the least k-word run of every window of w, or of all where there are fewer."""
+    long_ = np.diff(words.first) >= k
+    if len(words.hash) < k or not long_.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h, d = shingle_hashes(words, k)
+    if not long_.all():
+        some = long_[d]
+        h, d = h[some], d[some]
+    first = np.searchsorted(d, np.arange(n_docs + 1))
+    take = np.zeros(len(h), bool)
+    if len(h) >= w:
+        inside = np.flatnonzero(d[: len(h) - w + 1] == d[w - 1 :])
+        view = np.lib.stride_tricks.sliding_window_view(h, w)
+        for a in range(0, len(inside), 1 << 16):
+            at = inside[a : a + (1 << 16)]
+            take[at + view[at].argmin(axis=1)] = True
+    few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < w))
+    for x in few:
+        take[first[x] + int(h[first[x] : first[x + 1]].argmin())] = True
+    at = np.flatnonzero(take)
+    return d[at], at - first[d[at]], h[at]
+
+
+def _seeds(*kinds):
+    """Seeds of every kind (k, w); a long run that recurs holds the short ones at its start, so its place is a match of these too."""
+
     def run(batches):
         tok = Tokenizer()
         for batch in batches:
             for i, j, buf, off in chunks(batch.column(1)):
                 words = tok.words(buf, off)
-                n = np.diff(words.first)
-                if len(words.hash) < k or not (n >= k).any():
-                    continue
-                long_ = n >= k
-                h, d = shingle_hashes(words, k)
-                if not long_.all():
-                    some = long_[d]
-                    h, d = h[some], d[some]
-                first = np.searchsorted(d, np.arange(j - i + 1))
-                take = np.zeros(len(h), bool)
-                if len(h) >= w:
-                    inside = np.flatnonzero(d[: len(h) - w + 1] == d[w - 1 :])
-                    # rank halves make the argmin over a strided view cheap
-                    view = np.lib.stride_tricks.sliding_window_view(h, w)
-                    for a in range(0, len(inside), 1 << 16):
-                        at = inside[a : a + (1 << 16)]
-                        take[at + view[at].argmin(axis=1)] = True
-                few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < w))
-                for x in few:
-                    take[first[x] + int(h[first[x] : first[x + 1]].argmin())] = True
-                at = np.flatnonzero(take)
-                yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(d[at])), pa.array((at - first[d[at]]).astype(np.int32)), pa.array(h[at].view(np.int64))], names=["id", "pos", "seed"])
+                for k, w in kinds:
+                    d, pos, h = _minimizers(words, j - i, k, w)
+                    if len(d):
+                        yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(d)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], names=["id", "pos", "seed"])
 
     return run
 
@@ -271,7 +282,7 @@ def _outermost(batches):
         yield pa.record_batch([pa.array([v] * n, pa.int64()) for v in key] + [pa.array(c[keep]) for c in (s, e, same)], names=["id", "rid", "at", "end", "same"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, w: int = 4, min_words: int = 50, percent: int = 80, cost: float = 0.1, max_shift: int = 12, slack: int = 4, margin: int = 60) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, w: int = 4, min_words: int = 50, percent: int = 80, cost: float = 0.1, max_shift: int = 12, slack: int = 4, margin: int = 60, context: tuple = (16, 12)) -> DataFrame:
     """One row per repeated passage of a later document: id, start_word, end_word, n_same, first_id.
 
     Words are counted from 0; n_same of the end_word - start_word words equal
@@ -282,7 +293,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    seeds = base.mapInArrow(_seeds(k, w), "id long, pos int, seed long")
+    seeds = base.mapInArrow(_seeds((k, w), context), "id long, pos int, seed long")
     first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("most")).where("f.id < most").select("seed", F.col("f.id").alias("rid"), F.col("f.pos").alias("rpos"))
     first = scratch.keep(first)  # a table of its own, so that the join may split a hot seed
     matches = seeds.join(first, "seed").where("id <> rid").select("id", "rid", "pos", "rpos").distinct()

@@ -240,3 +240,19 @@ def test_long_passages_extend_past_the_margin(spark):
     rows = [(1, " ".join(prose(rng, 30, 10**6) + p)), (2, " ".join(prose(rng, 50, 10**6) + q + prose(rng, 20, 10**6)))]
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), k=8).collect()
     assert len(got) == 1 and got[0].first_id == 1 and got[0].start_word <= 53 and got[0].end_word >= 947
+
+
+def test_passages_whose_parts_stand_elsewhere(spark):
+    rng = random.Random(10)
+    rows, want = [], set()
+    for k in range(40):
+        c, base = prose(rng, 60, 10**6), 100 * k
+        if k % 2:  # a stock line of 40 words
+            rows.append((base, " ".join(prose(rng, 50, 10**6) + c[:40])))
+        else:  # each run of up to nine words stands in an earlier document
+            rows += [(base + a, " ".join(prose(rng, 20, 10**6) + c[max(0, a - 4) : a + 10] + prose(rng, 20, 10**6))) for a in range(0, 60, 6)]
+        rows += [(base + x, " ".join(prose(rng, 40, 10**6) + c + prose(rng, 40, 10**6))) for x in (80, 81)]
+        want.add((base + 81, base + 80))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_id) for r in got} == want
+    assert all(r.start_word == 40 and r.end_word == 100 for r in got)
