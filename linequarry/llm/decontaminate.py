@@ -2,14 +2,15 @@
 
 Containment cannot be read off the Jaccard similarity of a short item and a
 long document, so both sides are cut to comparable sizes: items fall into
-classes by their number of shingles (at most 16, 32, 64, ...), and for each
-class a document is covered by overlapping windows of twice the class size, of
+classes by their number of shingles (at most 32, 64, ...), and for each class a document is covered by overlapping windows of twice the class size, of
 which one holds any contiguous occurrence.  A window and an item that share a
 minimum under any of ``hashes`` hash functions are candidates; a document's
 exact shingle set then decides.  At containment 0.8 a window and an item of its
 class have a Jaccard similarity of 0.19 or more, so 48 hashes miss one item in
 25,000; the pieces of an item that is scattered over a document add up to
-about the same chance.
+about the same chance.  Items of at most 16 shingles, for which a window's
+similarity would be too small, are looked up: of an item that may lack m
+shingles any m + 1 are taken, of which a document that holds it has one.
 
 Items are read in blocks of bounded size, each held against all documents in
 a map over whole texts without a shuffle; more items mean more blocks.
@@ -28,15 +29,22 @@ from .textops import Tokenizer, chunks, random_u64, shingle_hashes
 BASE = 16
 
 
-def _item_block(items, width: int, hashes: int, seed: int):
-    """Sets and minima of one block of items: (ids, sets, {class size: (values, item index) sorted per hash})."""
+def _item_block(items, width: int, percent: int, hashes: int, seed: int):
+    """Sets and minima of one block of items: (ids, sets, {class size: (values, item index) sorted per hash}, (shingles, item index) of the small items, sorted)."""
     mult, add = random_u64(hashes, seed), random_u64(hashes, seed + 1)
-    tok, ids, sets, classes = Tokenizer(), [], [], {}
+    tok, ids, sets, classes, keys, owners = Tokenizer(), [], [], {}, [], []
     for item_id, text in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         got = np.unique(shingle_hashes(tok.words(raw, np.array([0, len(raw)])), width)[0])
         if not len(got):
             continue
+        if len(got) <= BASE:
+            some = got[: len(got) - -(-percent * len(got) // 100) + 1]
+            keys.append(some)
+            owners += [len(ids)] * len(some)
+            ids.append(item_id)
+            sets.append(got)
+            continue
         size = BASE
         while size < len(got):
             size *= 2
@@ -51,17 +59,20 @@ def _item_block(items, width: int, hashes: int, seed: int):
         lows, index = np.stack(lows), np.array(index)
         order = np.argsort(lows, axis=0, kind="stable")
         tables[size] = (np.take_along_axis(lows, order, 0), index[order])
-    return ids, sets, tables
+    keys, owners = np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.array(owners, np.int64)
+    order = np.argsort(keys, kind="stable")
+    return ids, sets, tables, (keys[order], owners[order])
 
 
 def _bits(values):
     seen = np.zeros(1 << 16, bool)
-    seen[values & np.uint32(0xFFFF)] = True
+    seen[values & values.dtype.type(0xFFFF)] = True
     return seen
 
 
 def _search(block, width: int, percent: int, hashes: int, seed: int):
-    ids, sets, tables = block
+    ids, sets, tables, (keys, owners) = block
+    few = _bits(keys) if len(keys) else None
     mult, add = random_u64(hashes, seed), random_u64(hashes, seed + 1)
     top = max(tables, default=BASE)
 
@@ -72,6 +83,15 @@ def _search(block, width: int, percent: int, hashes: int, seed: int):
         if not len(full):
             return set()
         found = set()
+        if len(keys):
+            at = np.flatnonzero(few[h & np.uint64(0xFFFF)])
+            a, b = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
+            hit = np.flatnonzero(b > a)
+            doc = np.searchsorted(first, at[hit], "right") - 1
+            for d, x, y in zip(doc.tolist(), a[hit], b[hit]):
+                found.update((d, int(i)) for i in owners[x:y])
+        if not tables:
+            return found
         blocks = -(-n[full] // BASE)  # base blocks of each document
         start = np.concatenate([[0], np.cumsum(blocks)])
         owner = np.repeat(np.arange(len(full)), blocks)
@@ -143,7 +163,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     parts: list[DataFrame] = []
 
     def search(block):
-        data = _item_block(block, width, hashes, seed)
+        data = _item_block(block, width, percent, hashes, seed)
         if data[0]:
             parts.append(base.mapInArrow(_search(data, width, percent, hashes, seed), schema))
 

@@ -256,3 +256,16 @@ def test_passages_whose_parts_stand_elsewhere(spark):
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.first_id) for r in got} == want
     assert all(r.start_word == 40 and r.end_word == 100 for r in got)
+
+
+def test_short_benchmark_items():
+    rng = random.Random(11)
+    items = {k: prose(rng, 5 + k % 5, 10**6) for k in range(1000)}
+    block = decontaminate._item_block([(k, " ".join(w)) for k, w in items.items()], 5, *([80] if "percent" in decontaminate._item_block.__code__.co_varnames else []), 48, 41)
+    docs = [" ".join(prose(rng, 300, 10**6) + w + prose(rng, 300, 10**6)) for w in items.values()]
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(docs)], names=["doc_id", "text"])
+    got = {(r["doc_id"], r["item_id"]) for b in decontaminate._search(block, 5, 80, 48, 41)([batch]) for r in b.to_pylist()}
+    print("found", len(got))
+    assert got == {(k, k) for k in items}
