@@ -2,21 +2,24 @@
 
 1. Words (A-Z lower-cased) form k-mers; in every window of ``w`` k-mers of a
    document the one with the least hash is a seed, so two documents that share
-   k + w - 1 words in a row share a seed.
-2. A seed that several documents hold links each of its places to its first
-   one (least document id, then least position): a star, not all pairs, so a
-   passage that a third of all documents share costs one match per place.
-   Longer runs (``context``) are seeds of their own: where the short ones of a
-   passage stand in earlier documents one by one, the long ones still link it
-   to the first document that holds them in this order.
+   k + w - 1 words in a row share a seed.  A seed's number in its document is
+   part of it, so repeated lines and runs of one word meet in order.
+2. A seed that several documents hold links each of its places to the one in
+   its first document: a star, not all pairs, so a passage that a third of all
+   documents share costs one match per place.  Longer runs (``context``) are
+   seeds of their own: where the short ones of a passage stand in earlier
+   documents one by one, the long ones still link it to the first document
+   that holds them in this order.
 3. The matches of a document with one earlier document are merged to anchors
    along diagonals and chained: the best chain ending at an anchor is its
    length plus the best earlier chain on both sides less a cost for the gap,
    found with prefix maxima in a Fenwick tree for each diagonal in reach.
-4. Each chain, a single seed too, is widened and aligned word by word (along
-   its diagonal, and over the runs of equal words in a band around it) to get
-   the borders and the identity of the passage; where the passage runs on to
-   the end of what was read, more is read.
+   Chains of fewer than ``least`` matched words (one short seed alone, mostly
+   chance) end here.
+4. Each chain is widened and aligned word by word (along its diagonal, and
+   over the runs of equal words in a band around it) to get the borders and
+   the identity of the passage; where the passage runs on to the end of what
+   was read, more is read.
 
 Only documents that take part in a chain send text through a shuffle.  The
 earliest document keeps the passage.
@@ -31,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch, broadcast_if_small
-from .textops import Tokenizer, binary_array, chunks, shingle_hashes
+from .tables import Scratch, broadcast_if_small, one_text, unused
+from .textops import Tokenizer, binary_array, chunks, mix64, shingle_hashes
 from .vectors import runs_of_keys
 
+_SALT = 0x9E3779B97F4A7C15
+
 
 def _minimizers(words, n_docs: int, k: int, w: int):
     """(document, place in it, hash) of the least k-word run of every window of w, or of all where there are fewer."""
@@ -48,11 +53,13 @@ def _minimizers(words, n_docs: int, k: int, w: int):
     first = np.searchsorted(d, np.arange(n_docs + 1))
     take = np.zeros(len(h), bool)
     if len(h) >= w:
-        inside = np.flatnonzero(d[: len(h) - w + 1] == d[w - 1 :])
-        view = np.lib.stride_tricks.sliding_window_view(h, w)
-        for a in range(0, len(inside), 1 << 16):
-            at = inside[a : a + (1 << 16)]
-            take[at + view[at].argmin(axis=1)] = True
+        m = len(h) - w + 1
+        low, at = h[:m].copy(), np.arange(m)
+        for j in range(1, w):
+            less = h[j : j + m] < low
+            low[less] = h[j : j + m][less]
+            at[less] = np.flatnonzero(less) + j
+        take[at[d[:m] == d[w - 1 :]]] = True
     few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < w))
     for x in few:
         take[first[x] + int(h[first[x] : first[x + 1]].argmin())] = True
@@ -60,8 +67,27 @@ def _minimizers(words, n_docs: int, k: int, w: int):
     return d[at], at - first[d[at]], h[at]
 
 
+def _ranks(d, pos, h):
+    """How many earlier entries of the same document have the same hash, and how far back the last one is; entries are in order of place."""
+    order = np.lexsort((h, d))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (d[order][1:] != d[order][:-1])
+    at = np.flatnonzero(new)
+    rank, back = np.empty(len(h), np.int64), np.zeros(len(h), np.int64)
+    rank[order] = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+    back[order[1:]] = np.where(new[1:], 0, pos[order[1:]] - pos[order[:-1]])
+    return rank, back
+
+
 def _seeds(*kinds):
-    """Seeds of every kind (k, w); a long run that recurs holds the short ones at its start, so its place is a match of these too."""
+    """Rows (id, pos, len, seed, own) of every kind (k, w).
+
+    A seed that a document repeats has its number there in the key, so that
+    the second one meets the second one of another document and a repeated
+    line stays on one diagonal; it is also given under the key of the first
+    one (``own`` is false there: it can't be the place others link to), unless
+    it overlaps the one before, as in a run of one word.
+    """
 
     def run(batches):
         tok = Tokenizer()
@@ -70,22 +96,31 @@ def _seeds(*kinds):
                 words = tok.words(buf, off)
                 for k, w in kinds:
                     d, pos, h = _minimizers(words, j - i, k, w)
-                    if len(d):
-                        yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(d)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], names=["id", "pos", "seed"])
+                    if not len(d):
+                        continue
+                    rank, back = _ranks(d, pos, h)
+                    more = np.flatnonzero(back >= k)
+                    own = np.append(np.ones(len(d), bool), np.zeros(len(more), bool))
+                    key = np.append(np.where(rank > 0, mix64(h + rank.astype(np.uint64) * np.uint64(_SALT)), h), h[more])
+                    d, pos = np.append(d, d[more]), np.append(pos, pos[more])
+                    ids = batch.column(0).slice(i, j - i).take(pa.array(d))
+                    yield pa.record_batch([ids, pa.array(pos.astype(np.int32)), pa.array(np.full(len(d), k, np.int16)), pa.array(key.view(np.int64)), pa.array(own)], names=["id", "pos", "len", "seed", "own"])
 
     return run
 
 
-def anchors_of(pos, rpos, k: int, join: int):
-    """Matches merged along diagonals: rows (start, end, other start, other end), sorted by start."""
+def anchors_of(pos, rpos, size, join: int):
+    """Matches of ``size`` words merged along diagonals where at most ``join`` words apart: rows (start, end, other start, other end), sorted by start."""
     diagonal = pos - rpos
     order = np.lexsort((pos, diagonal))
-    p, g = pos[order], diagonal[order]
+    p, g, end = pos[order], diagonal[order], (pos + size)[order]
+    step = np.zeros(len(p), np.int64)
+    step[1:] = np.cumsum(g[1:] != g[:-1])
+    reach = np.maximum.accumulate(end + (step << 40)) - (step << 40)
     new = np.ones(len(p), bool)
-    new[1:] = (g[1:] != g[:-1]) | (p[1:] - p[:-1] > join)
+    new[1:] = (g[1:] != g[:-1]) | (p[1:] - reach[:-1] > join)
     a = np.flatnonzero(new)
-    b = np.append(a[1:], len(p)) - 1
-    s, e = p[a], p[b] + k
+    s, e = p[a], reach[np.append(a[1:], len(p)) - 1]
     out = np.stack([s, e, s - g[a], e - g[a]], 1)
     return out[np.argsort(s, kind="stable")]
 
@@ -154,12 +189,39 @@ def chains_of(anchors, cost: float, max_shift: int):
     return out
 
 
-def _chain(k: int, join: int, cost: float, max_shift: int):
+def _pairs(batches, least: int):
+    """(key, matches) of the pairs of documents whose matches come to ``least`` words or more, from partitions sorted by pair; smaller ones are passed over in bulk."""
+    def whole(rows):
+        new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)) if len(rows) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        for k in np.flatnonzero(np.add.reduceat(rows[:, 4], at) >= least) if len(at) else ():
+            part = rows[at[k] : at[k + 1] if k + 1 < len(at) else len(rows)]
+            yield (int(part[0, 0]), int(part[0, 1])), part
+
+    held_parts = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy().astype(np.int64, copy=False) for c in batch.columns], 1)
+        last = rows[-1, :2]
+        cut = int(np.flatnonzero((rows[:, :2] != last).any(axis=1))[-1]) + 1 if (rows[0, :2] != last).any() else 0
+        if held_parts and (cut or (held_parts[-1][-1, :2] != last).any()):
+            yield from whole(np.concatenate([*held_parts, rows[:cut]]))
+            held_parts = []
+        elif cut:
+            yield from whole(rows[:cut])
+        held_parts.append(rows[cut:])
+    if held_parts:
+        yield from whole(np.concatenate(held_parts))
+
+
+def _chain(join: int, cost: float, max_shift: int, least: int):
     def run(batches):
         rows = []
-        for key, t in runs_of_keys(batches, 2):
-            pos, rpos = t["pos"].to_numpy().astype(np.int64), t["rpos"].to_numpy().astype(np.int64)
-            for chain in chains_of(anchors_of(pos, rpos, k, join), cost, max_shift):
+        for key, t in _pairs(batches, least):
+            for chain in chains_of(anchors_of(t[:, 2], t[:, 3], t[:, 4], join), cost, max_shift):
+                if (chain[:, 1] - chain[:, 0]).sum() < least:
+                    continue
                 s, e, rs, re_ = chain[:, 0].min(), chain[:, 1].max(), chain[:, 2].min(), chain[:, 3].max()
                 shift = chain[:, 0] - chain[:, 2]
                 rows.append((*key, s, e, rs, re_, shift.min(), shift.max()))
@@ -189,27 +251,30 @@ def _codes(batches):
             yield pa.record_batch([batch.column(0).slice(i, j - i), binary_array((words.hash >> np.uint64(32)).astype(np.uint32), words.first)], names=["id", "words"])
 
 
-def runs_in_band(a, b, lo: int, hi: int, least: int):
+def runs_in_band(a, b, lo: int, hi: int, least: int, cells: int = 1 << 23):
     """Maximal runs of ``least`` equal words or more on the diagonals lo .. hi (a[i] ~ b[i - d]), as anchors sorted by start."""
-    width = hi - lo + 1
-    padded = np.zeros(len(a) + width - 1, a.dtype)
-    # row d of the strided view is b moved by lo + d; places outside b never equal
-    j0 = -hi
-    inside = np.zeros(len(padded), bool)
-    x, y = max(0, -j0), min(len(padded), len(b) - j0)
-    if y > x:
-        padded[x:y], inside[x:y] = b[x + j0 : y + j0], True
-    view = np.lib.stride_tricks.sliding_window_view(padded, len(a))[::-1]
-    same = (view == a) & np.lib.stride_tricks.sliding_window_view(inside, len(a))[::-1]
-    edge = np.zeros((width, len(a) + 2), np.int8)
-    edge[:, 1:-1] = same
-    step = np.diff(edge, axis=1)
-    d, s = np.nonzero(step == 1)
-    e = np.nonzero(step == -1)[1]
-    keep = e - s >= least
-    d, s, e = d[keep] + lo, s[keep], e[keep]
-    out = np.stack([s, e, s - d, e - d], 1)
-    return out[np.argsort(s, kind="stable")]
+    found = []
+    # as many diagonals at once as fit in ``cells`` comparisons; a long text or a wide band takes more rounds
+    step = max(1, cells // max(1, len(a)))
+    for d0 in range(lo, hi + 1, step):
+        d1 = min(hi, d0 + step - 1)
+        padded = np.zeros(len(a) + d1 - d0, a.dtype)
+        inside = np.zeros(len(padded), bool)  # row d of the strided view is b moved by d; places outside b never equal
+        x, y = max(0, d1), min(len(padded), len(b) + d1)
+        if y > x:
+            padded[x:y], inside[x:y] = b[x - d1 : y - d1], True
+        view = np.lib.stride_tricks.sliding_window_view(padded, len(a))[::-1]
+        same = (view == a) & np.lib.stride_tricks.sliding_window_view(inside, len(a))[::-1]
+        edge = np.zeros((d1 - d0 + 1, len(a) + 2), np.int8)
+        edge[:, 1:-1] = same
+        edge = np.diff(edge, axis=1)
+        d, s = np.nonzero(edge == 1)
+        e = np.nonzero(edge == -1)[1]
+        keep = e - s >= least
+        d, s, e = d[keep] + d0, s[keep], e[keep]
+        found.append(np.stack([s, e, s - d, e - d], 1))
+    out = np.concatenate(found)
+    return out[np.argsort(out[:, 0], kind="stable")]
 
 
 def align(a, b, lo: int, hi: int, slack: int = 4, least: int = 3, need: int = 0):
@@ -272,33 +337,35 @@ def _align(min_words: int, percent: int, slack: int, edge: int = 32):
 
 
 def _outermost(batches):
-    """Rows (id, rid, at, end, same) sorted by the ids, without those that lie inside another one of their pair."""
-    for key, t in runs_of_keys(batches, 2):
-        s, e, same = (t[c].to_numpy() for c in ("at", "end", "same"))
-        order = np.lexsort((-same, -e, s))
+    """Rows (id, rid, at, end, same) sorted by id, without those that lie inside another one of their document."""
+    for key, t in runs_of_keys(batches, 1):
+        rid, s, e, same = (t[c].to_numpy() for c in ("rid", "at", "end", "same"))
+        order = np.lexsort((rid, -same, -e, s))
         last = np.append(-1, np.maximum.accumulate(e[order])[:-1])
         keep = order[e[order] > last]
-        n = len(keep)
-        yield pa.record_batch([pa.array([v] * n, pa.int64()) for v in key] + [pa.array(c[keep]) for c in (s, e, same)], names=["id", "rid", "at", "end", "same"])
+        yield pa.record_batch([pa.array([key[0]] * len(keep), pa.int64()), *(pa.array(c[keep]) for c in (rid, s, e, same))], names=["id", "rid", "at", "end", "same"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, w: int = 4, min_words: int = 50, percent: int = 80, cost: float = 0.1, max_shift: int = 12, slack: int = 4, margin: int = 60, context: tuple = (16, 12)) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, w: int = 4, min_words: int = 50, percent: int = 80, cost: float = 0.1, max_shift: int = 12, slack: int = 4, margin: int = 60, context: tuple = (16, 12), least: int = 10) -> DataFrame:
     """One row per repeated passage of a later document: id, start_word, end_word, n_same, first_id.
 
     Words are counted from 0; n_same of the end_word - start_word words equal
     the aligned ones of document ``first_id``, which has a smaller id.  At
-    least ``min_words`` words and ``percent`` per cent must agree.  Passages
+    least ``min_words`` words and ``percent`` per cent must agree; what lies
+    inside another passage of its document is not listed again.  Passages
     inside one document, texts that are null, empty or shorter than k words,
-    and null ids give no rows; repeated rows of one id count as one document.
+    and null ids give no rows.  Rows of one id count as one document; if their
+    texts differ, the one with the least hash is its text.  Only the id and
+    the text are read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    seeds = base.mapInArrow(_seeds((k, w), context), "id long, pos int, seed long")
-    first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("most")).where("f.id < most").select("seed", F.col("f.id").alias("rid"), F.col("f.pos").alias("rpos"))
+    base = one_text(docs, id_col, text_col, scratch)[0]
+    seeds = base.mapInArrow(_seeds((k, w), context), "id long, pos int, len short, seed long, own boolean")
+    first = seeds.where("own").groupBy("seed").agg(F.min("id").alias("rid"), F.max("id").alias("most"), F.min_by("pos", "id").alias("rpos")).where("rid < most").select("seed", "rid", "rpos")
     first = scratch.keep(first)  # a table of its own, so that the join may split a hot seed
-    matches = seeds.join(first, "seed").where("id <> rid").select("id", "rid", "pos", "rpos").distinct()
+    matches = seeds.join(first, "seed").where("id <> rid").select("id", "rid", "pos", "rpos", "len")
     grouped = matches.repartition("id", "rid").sortWithinPartitions("id", "rid")
-    chains = scratch.keep(grouped.mapInArrow(_chain(k, k + w, cost, max_shift), ", ".join(f"{c} long" for c in _CHAIN)))
+    chains = scratch.keep(grouped.mapInArrow(_chain(w, cost, max_shift, least), ", ".join(f"{c} long" for c in _CHAIN)))
 
     wanted = scratch.keep(chains.select("id").union(chains.select("rid")).distinct())
     codes = base.join(broadcast_if_small(wanted), "id", "left_semi").mapInArrow(_codes, "id long, words binary").dropDuplicates(["id"])
@@ -317,11 +384,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         got = scratch.keep(both.mapInArrow(_align(min_words, percent, slack), ", ".join(f"{c} long" for c in _FOUND) + ", open boolean"))
         parts.append(got.where("not open").select("id", "rid", "at", "end", "same"))
         # passages that run on beyond their slices are aligned anew in wider ones
-        todo, margin = got.where("open").select(*_CHAIN), 4 * margin
+        todo, margin = got.where("open").select(*_CHAIN), 8 * margin
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)
-    out = out.repartition("id", "rid").sortWithinPartitions("id", "rid").mapInArrow(_outermost, "id long, rid long, at long, end long, same long")
+    out = out.repartition("id").sortWithinPartitions("id").mapInArrow(_outermost, "id long, rid long, at long, end long, same long")
     return out.select(F.col("id").alias(id_col), F.col("at").alias("start_word"), F.col("end").alias("end_word"), F.col("same").alias("n_same"), F.col("rid").alias("first_id"))
 
 
@@ -361,17 +428,23 @@ def _cut(text_at: int, spans_at: int):
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with repeated passages cut out of all documents but the first; rows of which no word is left go.
 
-    Texts without a repeated passage are untouched, blank ones among them.
+    Texts without a repeated passage are untouched, blank ones among them; so
+    are further texts of an id (see ``repeated_passages``).
     """
+    scratch = Scratch(docs.sparkSession)
+    _, several = one_text(docs, id_col, text_col, scratch)
+    ident, spans_, had = unused(docs.columns, "id", "spans", "had")
     spans = repeated_passages(docs, id_col=id_col, text_col=text_col, **options)
-    spans = spans.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e")))).alias("_spans"))
-    spans = Scratch(docs.sparkSession).keep(spans)
-    few = broadcast_if_small(spans, 200_000)
-    joined = docs.join(few, docs[id_col] == F.col("_id"), "left").drop("_id")
-    cols = joined.columns
-    out = joined.withColumn("_had", F.col("_spans").isNotNull())
-    at = cols.index(text_col), cols.index("_spans")
-    fields = docs.schema
-    schema = type(fields)([f for f in fields.fields]).add("_had", "boolean")
-    out = out.mapInArrow(_cut(*at), schema)
-    return out.where(f"not _had or trim(`{text_col}`) <> ''").drop("_had")
+    spans = spans.groupBy(F.col(id_col).alias(ident)).agg(F.array_sort(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e")))).alias(spans_))
+    spans = scratch.keep(spans)
+    few = broadcast_if_small(spans, 200_000, bytes_=64_000_000)
+    joined = docs.join(few, docs[id_col] == F.col(ident), "left")
+    if several is not None:
+        other, digest = unused([*docs.columns, ident, spans_, had], "other", "digest")
+        joined = joined.join(several.toDF(other, digest), docs[id_col] == F.col(other), "left")
+        joined = joined.withColumn(spans_, F.when(F.col(digest).isNull() | (F.col(digest) == F.xxhash64(F.col(text_col).cast("string"))), F.col(spans_))).drop(other, digest)
+    joined = joined.drop(ident).withColumn(had, F.col(spans_).isNotNull())
+    at = joined.columns.index(text_col), joined.columns.index(spans_)
+    schema = type(docs.schema)(list(docs.schema.fields)).add(had, "boolean")
+    out = joined.mapInArrow(_cut(*at), schema)
+    return out.where(~F.col(had) | (F.trim(text_col) != "")).drop(had)

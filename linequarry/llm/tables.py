@@ -65,6 +65,41 @@ class Scratch:
             self._remove(t._scratch_path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Marks a narrow table for broadcast after counting it; a larger one is left to a shuffled join."""
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000, bytes_: int | None = None) -> DataFrame:
+    """Marks a table for broadcast after counting it (and, if its rows have no fixed width, the bytes of its written form); a larger one is left to a shuffled join."""
+    if bytes_ is not None and written_bytes(df) > bytes_:
+        return df
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def written_bytes(table: DataFrame) -> int:
+    """Size of the files of a table that ``Scratch.keep`` returned."""
+    jvm = table.sparkSession._jvm
+    p = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+    return p.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def unused(columns, *names: str) -> tuple[str, ...]:
+    """Names like ``names`` that differ from all ``columns`` (in any letter case) and from each other."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def one_text(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) of the rows with neither null, and a table (id, digest) of the ids with different texts, None if there are none.
+
+    Of an id's different texts only the one with the least hash is kept.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    digests = base.select("id", F.xxhash64("text").alias("d")).groupBy("id").agg(F.min("d").alias("digest"), F.max("d").alias("most")).where("digest <> most")
+    several = scratch.keep(digests.select("id", "digest"))
+    if not several.head(1):
+        return base, None
+    joined = base.join(broadcast_if_small(several.withColumnRenamed("id", "_of")), F.col("id") == F.col("_of"), "left")
+    return joined.where("digest is null or digest = xxhash64(text)").select("id", "text"), several
