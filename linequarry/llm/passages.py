@@ -53,13 +53,11 @@ def _minimizers(words, n_docs: int, k: int, w: int):
     first = np.searchsorted(d, np.arange(n_docs + 1))
     take = np.zeros(len(h), bool)
     if len(h) >= w:
-        m = len(h) - w + 1
-        low, at = h[:m].copy(), np.arange(m)
-        for j in range(1, w):
-            less = h[j : j + m] < low
-            low[less] = h[j : j + m][less]
-            at[less] = np.flatnonzero(less) + j
-        take[at[d[:m] == d[w - 1 :]]] = True
+        inside = np.flatnonzero(d[: len(h) - w + 1] == d[w - 1 :])
+        view = np.lib.stride_tricks.sliding_window_view(h, w)
+        for a in range(0, len(inside), 1 << 16):
+            at = inside[a : a + (1 << 16)]
+            take[at + view[at].argmin(axis=1)] = True
     few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < w))
     for x in few:
         take[first[x] + int(h[first[x] : first[x + 1]].argmin())] = True
@@ -376,10 +374,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         start = f"greatest(0, {s} - {m})"
         return F.expr(f"{start} {name}from"), F.expr(f"substring({words}, cast(4 * {start} + 1 as int), cast(4 * ({e} + {m} - {start}) as int)) {name}words"), F.expr(f"cast(length({words}) div 4 as long) {name}n")
 
-    ref = codes.select(F.col("id").alias("xid"), F.col("words").alias("xwords"))
+    def words_of(rows: DataFrame, column: str = "id") -> DataFrame:
+        """The words of the documents that ``rows`` name; later rounds name few, the others stay out of the shuffle."""
+        if not parts:
+            return codes
+        return codes.join(broadcast_if_small(scratch.keep(rows.select(F.col(column).alias("id")).distinct())), "id", "left_semi")
+
     todo, parts = chains, []
     while not parts or todo.head(1):
-        own = todo.join(codes, "id").select(*_CHAIN, *part("words", "s", "e", margin, ""))
+        own = todo.join(words_of(todo), "id").select(*_CHAIN, *part("words", "s", "e", margin, ""))
+        ref = words_of(todo, "rid").toDF("xid", "xwords")
         both = own.join(ref, own.rid == ref.xid).select(*own.columns, *part("xwords", "rs", "re", margin, "r"))
         got = scratch.keep(both.mapInArrow(_align(min_words, percent, slack), ", ".join(f"{c} long" for c in _FOUND) + ", open boolean"))
         parts.append(got.where("not open").select("id", "rid", "at", "end", "same"))
