@@ -14,24 +14,27 @@ Scoring is one map over all whole texts.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
 from .textops import binary_array
 
 BITS = 14
 DIM = 1 << BITS
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANK = np.ones(0x2100, np.uint32)
 for _c in range(0x2100):
     _BLANK[_c] = _c if chr(_c).isalpha() else 32
 del _c
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode L*): ``½`` or ``Ⅷ`` are none."""
+    return any(map(str.isalpha, text))
+
+
 def gram_counts(text: str, blank=_BLANK):
     """(feature, count) of one text."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -125,7 +128,8 @@ def fit_temperature(logits, ys):
 
 def train(docs: DataFrame, learn_from: Column, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """A model for ``predict``, from rows that ``learn_from`` admits and that have a text and a language."""
-    rows = docs.where(learn_from).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("i is not null and t is not null and l is not null")
+    small_batches(docs.sparkSession)
+    rows = docs.where(learn_from).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("i is not null and t is not null and l is not null")
     sizes = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
     langs = sorted(sizes)
     if not langs:
@@ -165,7 +169,7 @@ def _predict(model):
             out, score = [], np.zeros(batch.num_rows)
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py()
-                if not langs or text is None or not _LETTER.search(text):
+                if not langs or text is None or not has_letter(text):
                     out.append("und")
                     continue
                 at, n = gram_counts(text)
@@ -180,5 +184,6 @@ def _predict(model):
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row; ``und`` with score 0 for null texts and texts without a letter. Ties go to the alphabetically first."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
