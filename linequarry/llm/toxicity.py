@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches
+from .tables import small_batches, unused
 from .textops import LOWER, Tokenizer, binary_array, chunks, mix64
 
 GRAM = 4
@@ -147,12 +147,13 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, max_positive:
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / (1 << 30)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rate = min(1.0, 1.1 * max_positive / bad)
-    positive = known.where((F.col("toxic") == 1) & (h < rate)).select(F.col("doc_id").alias("k")).limit(max_positive)
-    a = docs.join(F.broadcast(positive), docs["doc_id"] == F.col("k")).select(h.alias("h"), F.lit(True).alias("p"), text)
+    # in the order of the hash, so every run draws the same; at most max_positive ids are broadcast
+    positive = known.where((F.col("toxic") == 1) & (h < rate)).select(F.col("doc_id").alias("k"), h.alias("o")).orderBy("o", "k").limit(max_positive).select("k")
+    a = docs.select("doc_id", text).join(F.broadcast(positive), F.col("doc_id") == F.col("k")).select(h.alias("h"), F.lit(True).alias("p"), "text")
     pool = docs.where(learn_from)
     n = pool.count()
     b = pool.where(h < min(1.0, 1.1 * max_unlabelled / max(n, 1))).select(h.alias("h"), F.lit(False).alias("p"), text)
-    got = a.union(b).mapInArrow(_collect_features(), "h double, positive boolean, keys binary").toArrow().sort_by("h")
+    got = a.union(b).mapInArrow(_collect_features(), "h double, positive boolean, keys binary").toArrow().sort_by([("h", "ascending"), ("keys", "ascending")])
     flag = got["positive"].to_numpy()
     use = np.sort(np.concatenate([np.flatnonzero(flag)[:max_positive], np.flatnonzero(~flag)[:max_unlabelled]]))
     got, flag = got.take(pa.array(use)), flag[use]
@@ -223,14 +224,17 @@ def _keep(model, threshold):
     def run(batches):
         score = _score(model)
         for batch in batches:
-            pair = batch.select(["doc_id", "text"])
+            pair = pa.record_batch([batch.column(0), batch.column(1)], names=["doc_id", "text"])
             got = np.concatenate([x.column(1).to_numpy() for x in score([pair])]) if batch.num_rows else np.zeros(0)
-            yield batch.filter(pa.array(got < threshold))
+            yield pa.record_batch(batch.columns[2:], names=batch.schema.names[2:]).filter(pa.array(got < threshold))
 
     return run
 
 
 def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any other columns) that score under ``threshold``."""
+    """The rows of ``docs`` (doc_id, text and any other columns, of any names) that score under ``threshold``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep(shared, threshold), docs.schema)
+    ident, text = unused(docs.columns, "id", "text")
+    own = docs.select(F.col("doc_id").cast("long").alias(ident), F.col("text").cast("string").alias(text), "*")
+    return own.mapInArrow(_keep(shared, threshold), docs.schema)
