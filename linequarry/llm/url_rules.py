@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DOMAIN = r"[^.]*\.(?:(?:co|com|org|net|ac|gov|edu)\.[a-z][a-z]|[^.]*)$"
 
@@ -82,6 +84,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, rho_min: float = 0.00
     worst = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
     counts = pages.join(worst, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     counts = counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
+    counts = Scratch(pages.sparkSession).keep(counts)  # the levels below all start from it; pages are read once
     domains = counts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     whole = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
@@ -100,6 +103,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     """One row per page: id, host, path, rule, verdict, bad_rate, bad_low (posterior mean and lower bound).
 
     Null or malformed urls have empty host and path and share one reputation.
+    A host is what the contract's rule yields, so a port or user name is part of
+    it; hosts that are addresses have their last numbers for a domain.
     Other columns of the inputs are not read.
     """
     host, path = split_url(F.col(url_col))
