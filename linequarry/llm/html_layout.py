@@ -10,7 +10,9 @@ page's own style sheets with display:none or visibility:hidden.
 Rendering collapses white space outside ``pre``, starts block elements on a new
 line, sets paragraphs, headings, lists and tables apart by a blank line, marks
 list items (numbers in ordered lists), indents nested lists and quotes, and
-pads table cells to the width of their columns, with column and row spans.
+pads table cells to the width of their columns, with column spans (at most
+1000, as the HTML standard has it) and row spans.  Empty and null pages have an
+empty text; time and memory grow with the length of a page.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist param source track area map".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas datalist param source track area map desc metadata defs symbol clippath mask annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr menu fieldset".split())
 BLOCK = SPACED | frozenset("html body div article section header footer main nav aside address li dt dd tr form details summary figcaption caption center legend dialog hgroup search option optgroup thead tbody tfoot td th".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split())
@@ -35,10 +39,13 @@ IMPLIED = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
+INDENTS = 40  # levels of lists and quotes that indent; deeper ones stay at that margin
+DEEPEST = 150  # tables inside tables; further ones keep their text, as plain blocks
 BARRIER = frozenset("table td th caption html template button".split())
 _TAG = re.compile(r"<(?:!--(?P<comment>)|(?P<name>/?[a-zA-Z][^\s/>]*)|(?P<other>[!?/]))")
 _ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_MEDIA, _BRACE = re.compile(r"@media\b([^{};]*)\{", re.I), re.compile(r"[{}]")
 _NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _WS = re.compile(r"[ \t\n\r\f]+")
 
@@ -71,19 +78,27 @@ def _attributes(html, i):
 def parse(html: str) -> Node:
     root = Node("html")
     stack = [root]
+    at = {}  # places in the stack of the open elements of each tag, so that no end tag searches a deep stack
     i, n = 0, len(html)
 
+    def push(node):
+        at.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(k):
+        for node in stack[k:]:
+            at[node.tag].pop()
+        del stack[k:]
+
     def text(s):
         if s:
             stack[-1].kids.append(unescape(s) if "&" in s else s)
 
     def close(tags, stop):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return True
-            if stack[k].tag in stop:
-                return False
+        k = max((at[t][-1] for t in tags if at.get(t)), default=0)
+        if k and k >= max((at[t][-1] for t in stop if at.get(t)), default=0):
+            cut(k)
+            return True
         return False
 
     while i < n:
@@ -124,7 +139,7 @@ def parse(html: str) -> Node:
                 close({"head"}, ())
                 root.kids.append(body := Node("body", attrs))
                 if len(stack) == 1:
-                    stack.append(body)
+                    push(body)
             continue
         if name == "head" and len(stack) > 1:
             continue
@@ -135,13 +150,13 @@ def parse(html: str) -> Node:
             if name in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 row = Node("tr")
                 stack[-1].kids.append(row)
-                stack.append(row)
+                push(row)
         if name in CLOSES_P:
             close({"p"}, BARRIER)
         if stack[-1].tag == "head" and name not in HIDDEN:
-            stack.pop()  # content ends an open head
+            cut(len(stack) - 1)  # content ends an open head
         if name in ("h1", "h2", "h3", "h4", "h5", "h6") and re.fullmatch("h[1-6]", stack[-1].tag):
-            stack.pop()
+            cut(len(stack) - 1)
         node = Node(name, attrs)
         stack[-1].kids.append(node)
         if name in RAW:
@@ -151,10 +166,33 @@ def parse(html: str) -> Node:
                 node.kids.append(unescape(raw) if name in ("textarea", "title") else raw)
             i = html.find(">", end.end()) + 1 or n if end else n
         elif name not in VOID:
-            stack.append(node)
+            push(node)
     return root
 
 
+def _screen_rules(css: str) -> str:
+    """A style sheet without its comments and the blocks of @media rules that don't apply to a screen."""
+    css, out, i = re.sub(r"/\*.*?\*/", "", css, flags=re.S), [], 0
+    for m in _MEDIA.finditer(css):
+        if m.start() < i:
+            continue
+        out.append(css[i : m.start()])
+        depth, k = 1, m.end()
+        while k < len(css) and depth:
+            brace = _BRACE.search(css, k)
+            if brace is None:
+                k = len(css)
+                break
+            depth += 1 if brace[0] == "{" else -1
+            k = brace.end()
+        kinds = [q.split() for q in m[1].lower().split(",")]
+        if any(not q or q[0] in ("screen", "all", "only") and "print" not in q or q[0][0] == "(" or q[:2] == ["not", "print"] for q in kinds):
+            out.append(css[m.end() : k - 1])
+        i = k
+    out.append(css[i:])
+    return "".join(out)
+
+
 def _hidden_rules(root: Node):
     tags, classes, ids, pairs = set(), set(), set(), set()
     todo = [root]
@@ -163,7 +201,7 @@ def _hidden_rules(root: Node):
         for kid in node.kids:
             if isinstance(kid, Node):
                 if kid.tag == "style":
-                    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", "".join(k for k in kid.kids if isinstance(k, str)), flags=re.S)):
+                    for selectors, body in _RULE.findall(_screen_rules("".join(k for k in kid.kids if isinstance(k, str)))):
                         if _NONE.search(body):
                             for s in selectors.split(","):
                                 m = re.fullmatch(r"\s*([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?\s*", s)
@@ -214,11 +252,11 @@ class _Lines:
                 self.lines.append(self.now)
                 self.lines.extend([""] * (self.gap - 1))
             self.now, self.gap = "", 0
-            pad = "".join(self.indent)
+            pad = "".join(self.indent[:INDENTS])
             if self.mark is not None:
                 depth, mark = self.mark
                 self.mark = None
-                pad = "".join(self.indent[:depth]) + mark
+                pad = "".join(self.indent[: min(depth, INDENTS)]) + mark
             self.now = pad
             return True
         return False
@@ -353,7 +391,7 @@ def _render(kids, hidden, depth=0) -> str:
             out.want(breaks)
         if tag == "hr":
             continue
-        if tag == "table" and depth < 8:
+        if tag == "table" and depth < DEEPEST:
             for line in _table(item, hidden, depth):
                 for part in line.split("\n"):
                     out.want(1)
@@ -418,4 +456,5 @@ def _extract():
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, text, n_lines) of every page; other columns are not read."""
+    small_batches(pages.sparkSession)
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(_extract(), "page_id long, text string, n_lines long").withColumnRenamed("page_id", id_col)
