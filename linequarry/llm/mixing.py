@@ -102,14 +102,20 @@ def plan(docs: DataFrame, budget: float | None = None, max_epochs: float | None
     reads every source at least once, so that no document is left out.  A null
     source is a source of its own; sources without any token are read once.
     Existing columns of these names are replaced; an empty table gives no row.
+    Rows that share id and source are permuted by a hash of their text, too.
     """
-    made = ("mix_tokens", "mix_epoch", "mix_block", "mix_key", "source_key")
+    made = ("mix_tokens", "mix_epoch", "mix_block", "mix_key")
     own = [c for c in docs.columns if c not in made]
+    held = {c: f"own column {k}" for k, c in enumerate(own)}  # their names may be any; those below are free of them
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    base = docs.select(*own, key.alias("source_key"), count_words(F.col(text_col)).alias("mix_tokens"))
+    base = docs.select(
+        *[docs[f"`{c}`"].alias(n) for c, n in held.items()], key.alias("source_key"), F.col(id_col).cast("string").alias("_id"),
+        count_words(F.col(text_col)).alias("mix_tokens"), F.xxhash64(F.col(text_col).cast("string")).alias("_tie"),
+    )
     # texts are counted once for all totals, and once more for the copies themselves
-    narrow = Scratch(docs.sparkSession).keep(base.select("source_key", F.col(id_col).cast("string").alias("_id"), "mix_tokens"))
-    totals = source_totals(narrow.select("source_key", F.col("mix_tokens").alias("n_tokens")))
+    scratch = Scratch(docs.sparkSession)
+    narrow = scratch.keep(base.select("source_key", "_id", "mix_tokens"))
+    totals = scratch.keep(source_totals(narrow.select("source_key", F.col("mix_tokens").alias("n_tokens"))))
     step = find_exponent(totals, budget, max_epochs, min_entropy)
     w = F.when(F.col("tokens") > 0, F.pow("share", F.lit(step / STEPS))).otherwise(F.lit(0.0))
     weights = totals.withColumn("w", w)
@@ -123,33 +129,33 @@ def plan(docs: DataFrame, budget: float | None = None, max_epochs: float | None
     last = F.when((F.col("tokens") > 0) & (F.col("rest") > 0), F.col("full")).otherwise(F.col("full") - 1)
     weights = weights.withColumn("last", last).withColumn("slices", F.ceil(F.col("n_docs") / slice_rows).cast("long")).where("last >= 0")
 
-    def place(name: str):
-        text = F.concat_ws("|", F.lit(str(seed)), "source_key", F.col("mix_epoch").cast("string"), F.coalesce(F.col(name).cast("string"), F.lit("")))
+    def place():
+        text = F.concat_ws("|", F.lit(str(seed)), "source_key", F.col("mix_epoch").cast("string"), F.coalesce(F.col("_id"), F.lit("")))
         return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
     shape = weights.select(F.col("source_key").alias("_s"), "tokens", "weight", "full", "rest", "last", "slices")
     shape = F.broadcast(shape) if _few(weights) else shape
 
-    def copies_of(rows: DataFrame, name: str) -> DataFrame:
+    def copies_of(rows: DataFrame) -> DataFrame:
         out = rows.join(shape, F.col("source_key") == F.col("_s")).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        return out.withColumn("_p", place(name)).withColumn("slice", F.floor(F.col("_p") / F.lit(float(1 << 52)) * F.col("slices")).cast("long"))
+        return out.withColumn("_p", place()).withColumn("slice", F.floor(F.col("_p") / F.lit(float(1 << 52)) * F.col("slices")).cast("long"))
 
-    copies = copies_of(base, id_col)
+    copies = copies_of(base)
 
     def slice_sums(rows: DataFrame) -> DataFrame:
         per = rows.groupBy("source_key", "mix_epoch", "slice").agg(F.sum("mix_tokens").alias("t"))
         before = F.sum("t").over(W.partitionBy("source_key", "mix_epoch").orderBy("slice")) - F.col("t")
         return per.select(F.col("source_key").alias("_k"), F.col("mix_epoch").alias("_e"), F.col("slice").alias("_sl"), before.alias("before"))
 
-    inside = W.partitionBy("source_key", "mix_epoch", "slice").orderBy("_p", id_col, "mix_tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source_key", "mix_epoch", "slice").orderBy("_p", "_id", "mix_tokens", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = copies.withColumn("run", F.sum("mix_tokens").over(inside))
-    sums = slice_sums(copies_of(narrow, "_id").select("source_key", "mix_epoch", "slice", "mix_tokens"))
+    sums = slice_sums(copies_of(narrow).select("source_key", "mix_epoch", "slice", "mix_tokens"))
     out = placed.join(sums, (placed.source_key == sums._k) & (placed.mix_epoch == sums._e) & (placed.slice == sums._sl))
     done = F.col("before") + F.col("run")
     out = out.where((F.col("mix_epoch") < F.col("full")) | (done <= F.col("rest") + 1e-6))
     start = F.col("mix_epoch") * F.col("tokens") + done - F.col("mix_tokens")
     block = F.when(F.col("weight") > 0, F.floor(start / (F.col("weight") * block_tokens) + 1e-9)).otherwise(F.lit(0)).cast("long")
-    return out.select(*own, F.col("mix_tokens"), F.col("mix_epoch").cast("long").alias("mix_epoch"), block.alias("mix_block"), F.col("_p").alias("mix_key"))
+    return out.select(*[F.col(n).alias(c) for c, n in held.items()], F.col("mix_tokens"), F.col("mix_epoch").cast("long").alias("mix_epoch"), block.alias("mix_block"), F.col("_p").alias("mix_key"))
 
 
 def _few(weights: DataFrame, bound: int = 10_000) -> bool:
