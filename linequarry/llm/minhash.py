@@ -12,9 +12,10 @@ Steps (every table between them lies in the shared folder):
 4. A pair whose signatures agree in far fewer places than the threshold asks
    is dropped; the others are confirmed on their full sets.
 5. Confirmed links are joined into components.  A bucket whose members still
-   lie in several components is then compared across these components, in
-   tiles of bounded size, so that a link no centre saw is not lost; new links
-   are confirmed in the same way and the components are joined again.
+   still lie in several components is then compared across these components, in
+   tiles of bounded size, so that a link no centre saw is not lost; members that
+   came near another component by signature are confirmed on their full sets in
+   the tile, which emits a forest of links and not their pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .tables import Scratch, broadcast_if_small
+from .tables import Scratch, broadcast_if_small, unused
 from .textops import Tokenizer, binary_array, chunks, distinct_sets, mix64, random_u64, shingle_hashes
 
 
@@ -91,57 +92,98 @@ def _sets(width: int):
     return run
 
 
+def similar(x, y, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    if len(x) < len(y):
+        x, y = y, x
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = len(x) - 1
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
-    """Keeps pairs with 100 * intersection >= percent * union of their full sets."""
+    """Keeps pairs of similar full sets."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = len(x) - 1
-                both = int((x[at] == y).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _across(need: int, length: int):
-    """Pairs of one bucket tile that lie in different components and whose signatures agree in ``need`` places or more."""
+def _halves(table, length: int):
+    """(rows, columns) of a tile and the signatures, ids and components of all its members."""
+    side = table["side"].to_numpy()
+    row, col = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, length)
+    return row, col if len(col) else row, sig, table["id"].to_numpy(), table["comp"].to_numpy()
+
+
+def _suspects(need: int, length: int):
+    """Members of a bucket tile that have a partner in another component whose signature agrees in ``need`` places or more."""
 
     def run(key, table):
-        half = [table.filter(pa.compute.equal(table["side"], s)) for s in (0, 1)]
-        if not half[1].num_rows:
-            half[1] = half[0]
-        sig = [np.frombuffer(b"".join(h["sig"].to_pylist()), np.uint8).reshape(-1, length) for h in half]
-        ids, comp = [h["id"].to_numpy() for h in half], [h["comp"].to_numpy() for h in half]
-        found = []
-        for k in range(len(ids[0])):
-            other = np.flatnonzero(comp[1] != comp[0][k])
-            near = other[(sig[1][other] == sig[0][k]).sum(axis=1) >= need]
-            found.append(np.stack([np.full(len(near), ids[0][k]), ids[1][near]], 1))
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        lo, hi = found.min(axis=1, initial=1 << 62), found.max(axis=1, initial=-1)
-        found = np.unique(np.stack([lo, hi], 1), axis=0)
-        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+        row, col, sig, ids, comp = _halves(table, length)
+        hit = np.zeros(len(ids), bool)
+        for k in row:
+            other = col[comp[col] != comp[k]]
+            near = other[(sig[other] == sig[k]).sum(axis=1) >= need]
+            hit[near] = True
+            hit[k] |= len(near) > 0
+        n = int(hit.sum())
+        return pa.table({"bucket": pa.array([key[0].as_py()] * n, pa.int64()), "id": pa.array(ids[hit], pa.int64())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, tile: int = 1024, seed: int = 7) -> DataFrame:
+def _across(need: int, length: int, percent: int):
+    """Links that join the components of a bucket tile, confirmed on full sets: a forest, never all pairs.
+
+    A pair whose components were joined by an earlier link of the tile is not
+    compared any more; of two components every other pair is.
+    """
+
+    def run(key, table):
+        row, col, sig, ids, comp = _halves(table, length)
+        sets = table["set"]
+        _, group = np.unique(comp, return_inverse=True)
+        held: dict[int, np.ndarray] = {}
+
+        def values(x):
+            if x not in held:
+                held[x] = np.frombuffer(sets[x].as_buffer(), np.uint64)
+            return held[x]
+
+        a, b = [], []
+        for k in row:
+            other = col[group[col] != group[k]]
+            for x in other[(sig[other] == sig[k]).sum(axis=1) >= need]:
+                if group[x] != group[k] and similar(values(k), values(x), percent):
+                    group[group == group[x]] = group[k]
+                    a.append(ids[k])
+                    b.append(ids[x])
+        lo, hi = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
+        return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, tile: int = 1024, tile_bytes: int = 16_000_000, seed: int = 7) -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id reachable over links), kept.
 
     Two documents link when 100 * |A & B| >= percent * |A | B| for their sets
     of distinct ``width``-word shingles; a text of fewer words is one shingle,
     its whole sequence.  Null, empty or blank texts have an empty set and link
     with nothing.  Repeated rows of one id count as copies; rows with a null
-    id come out with a null component and are kept.  At the default 25 bands
-    of 5 a pair at the threshold is missed with probability 5e-5.
+    id come out with a null component and are kept.  Shingles are held as
+    64-bit hashes.  At the default 25 bands of 5 a pair at the threshold shares
+    no band with probability 5e-5 and fails the signature screen (4.5 standard
+    deviations) with 1e-5; both together are the chance of missing a pair that
+    no chain of others connects.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -162,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
     length = bands * rows
-    need = int(length * (percent / 100 - 3.5 * math.sqrt(percent / 100 * (1 - percent / 100) / length)))
+    need = int(length * (percent / 100 - 4.5 * math.sqrt(percent / 100 * (1 - percent / 100) / length)))
     wanted = scratch.keep(in_bucket.select("id").distinct())
     sets = scratch.keep(base.join(broadcast_if_small(wanted), "id", "left_semi").mapInArrow(_sets(width), "id long, set binary").dropDuplicates(["id"]))
     sigs = scratch.keep(unique.select("id", "sig").join(broadcast_if_small(wanted), "id", "left_semi"))
@@ -177,19 +219,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(scratch.keep(screened.where(agree >= need).select("a", "b")))
     comps = scratch.keep(connected_components(links, scratch))
 
-    # buckets in several components: compare across these
+    # buckets in several components: compare across these, first by signature alone, then on the sets of those that came near
     at = in_bucket.select("id", "bucket").join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("comp"))
     at = scratch.keep(at)
-    open_ = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    open_ = scratch.keep(open_.select("bucket", F.ceil(F.col("size") / tile).cast("int").alias("tiles")))
-    spread = at.join(open_, "bucket").join(sigs, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.select("id", "comp", "sig", "bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = spread.groupBy("bucket", "p", "q").applyInArrow(_across(need, length), "a long, b long").distinct()
-    more = scratch.keep(more.join(links, ["a", "b"], "left_anti"))
-    if more.head(1):
-        links = scratch.keep(links.union(confirmed(more)))
-        comps = scratch.keep(connected_components(links, scratch))
+
+    def tiled(rows: DataFrame, size) -> DataFrame:
+        """Rows of open buckets (id, bucket, comp) with their tiles; ``size``: tiles' worth of a bucket's rows."""
+        open_ = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(size).cast("int").alias("tiles")).where("lo < hi")
+        out = rows.join(scratch.keep(open_.select("bucket", "tiles")), "bucket")
+        return out.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+
+    place = [F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")]
+    spread = tiled(at, F.count("*") / tile).join(sigs, "id").select("id", "comp", "sig", "bucket", *place)
+    near = scratch.keep(spread.groupBy("bucket", "p", "q").applyInArrow(_suspects(need, length), "bucket long, id long"))
+    if near.head(1):
+        sizes = unique.select("id", F.col("n").alias("size"))
+        some = scratch.keep(near.distinct().join(at, ["bucket", "id"]).join(sizes, "id"))
+        spread = tiled(some, F.greatest(F.count("*") / tile, F.sum("size") * 8 / tile_bytes)).join(sigs, "id").join(sets, "id").select("id", "comp", "sig", "set", "bucket", *place)
+        more = scratch.keep(spread.groupBy("bucket", "p", "q").applyInArrow(_across(need, length, percent), "a long, b long"))
+        if more.head(1):
+            comps = scratch.keep(connected_components(links.union(more), scratch))
 
     joined = member.join(comps, member.rep == comps.node, "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = feats.select("id", "n").join(joined, "id", "left")
@@ -200,6 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document stands for its component; all columns stay as they are."""
     verdict = near_duplicates(docs, id_col=id_col, **options)
-    gone = verdict.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    (name,) = unused(docs.columns, "gone")
+    gone = verdict.where("not kept").select(F.col(id_col).alias(name)).distinct()
     gone = Scratch(docs.sparkSession).keep(gone)
-    return docs.join(broadcast_if_small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(broadcast_if_small(gone), docs[id_col] == F.col(name), "left_anti")
