@@ -12,8 +12,9 @@ about the same chance.  Items of at most 16 shingles, for which a window's
 similarity would be too small, are looked up: of an item that may lack m
 shingles any m + 1 are taken, of which a document that holds it has one.
 
-Items are read in blocks of bounded size, each held against all documents in
-a map over whole texts without a shuffle; more items mean more blocks.
+Items are read in blocks of ``block_bytes`` of text, each broadcast and held
+against all documents in a map over whole texts without a shuffle; a gigabyte
+of items takes 32 such passes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch, broadcast_if_small, small_batches
+from .tables import Scratch, broadcast_if_small, small_batches, unused
 from .textops import Tokenizer, chunks, random_u64, shingle_hashes
 
 BASE = 16
@@ -70,7 +71,14 @@ def _bits(values):
     return seen
 
 
-def _search(block, width: int, percent: int, hashes: int, seed: int):
+def _search(sent, width: int, percent: int, hashes: int, seed: int):
+    def run(batches):
+        yield from _finder(sent.value, width, percent, hashes, seed)(batches)
+
+    return run
+
+
+def _finder(block, width: int, percent: int, hashes: int, seed: int):
     ids, sets, tables, (keys, owners) = block
     few = _bits(keys) if len(keys) else None
     mult, add = random_u64(hashes, seed), random_u64(hashes, seed + 1)
@@ -147,7 +155,7 @@ def _search(block, width: int, percent: int, hashes: int, seed: int):
     return run
 
 
-def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 80, hashes: int = 48, block_bytes: int = 4_000_000, seed: int = 41) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 80, hashes: int = 48, block_bytes: int = 32_000_000, seed: int = 41) -> DataFrame:
     """One row per (document, item) with 100 * shared >= percent * item shingles: doc id, item id, n_item, n_shared, containment.
 
     Shingles are distinct runs of ``width`` words (A-Z lower-cased); a shorter
@@ -165,7 +173,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     def search(block):
         data = _item_block(block, width, percent, hashes, seed)
         if data[0]:
-            parts.append(base.mapInArrow(_search(data, width, percent, hashes, seed), schema))
+            parts.append(base.mapInArrow(_search(spark.sparkContext.broadcast(data), width, percent, hashes, seed), schema))
 
     block, size = [], 0
     for row in wanted.orderBy("i", "t").toLocalIterator():
@@ -183,9 +191,10 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; all columns stay as they are."""
-    hit = contained_items(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("_hit")).where("_hit is not null").distinct()
+    (name,) = unused(docs.columns, "hit")
+    hit = contained_items(docs, items, id_col=id_col, **options).select(F.col(id_col).alias(name)).where(F.col(name).isNotNull()).distinct()
     hit = Scratch(docs.sparkSession).keep(hit)
-    return docs.join(broadcast_if_small(hit), docs[id_col] == F.col("_hit"), "left_anti")
+    return docs.join(broadcast_if_small(hit), docs[id_col] == F.col(name), "left_anti")
 
 
 ORACLE = r"""

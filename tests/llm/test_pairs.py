@@ -266,6 +266,6 @@ def test_short_benchmark_items():
     import pyarrow as pa
 
     batch = pa.record_batch([pa.array(range(1000)), pa.array(docs)], names=["doc_id", "text"])
-    got = {(r["doc_id"], r["item_id"]) for b in decontaminate._search(block, 5, 80, 48, 41)([batch]) for r in b.to_pylist()}
+    got = {(r["doc_id"], r["item_id"]) for b in decontaminate._finder(block, 5, 80, 48, 41)([batch]) for r in b.to_pylist()}
     print("found", len(got))
     assert got == {(k, k) for k in items}
