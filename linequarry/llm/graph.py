@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     and nulls are ignored.  The component is its least node.  Each round is
     written to the shared folder and compared with the last by row count and
     hash sum; hubs need no gathering, because neighbours are only ever reduced
-    by a minimum and joined back.
+    by a minimum and joined back.  Rounds grow with the logarithm of the longest
+    path; if ``rounds`` don't suffice, that is an error, not a partial result.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = scratch.keep(edges)
@@ -47,4 +48,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests, one machine) a temporary folder."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder on one machine and an error on a cluster, whose executors would not share it."""
     got = spark.conf.get("spark.checkpoint.dir", None) or None
     if got is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         got = tempfile.mkdtemp(prefix="linequarry-")
         spark.sparkContext.setCheckpointDir(got)
         got = spark.sparkContext._jsc.sc().getCheckpointDir().get()
