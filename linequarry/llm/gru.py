@@ -77,12 +77,32 @@ def output_log(m, states, targets, v):
     return out
 
 
-def train(m: dict, texts: list, v: int, streams: int = 64, window: int = 24, epochs: int = 2, rate: float = 4e-3, seed: int = 13) -> dict:
-    """Fits ``m`` in place on symbol arrays that end with 0."""
+def new_moments(m: dict) -> dict:
+    return {"t": 0} | {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in m.items()}
+
+
+def flat(m: dict):
+    """All weights side by side; ``unflat`` undoes it."""
+    return np.concatenate([m[k].ravel() for k in sorted(m)])
+
+
+def unflat(data, like: dict) -> dict:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = data[at : at + like[k].size].reshape(like[k].shape).astype(like[k].dtype)
+        at += like[k].size
+    return out
+
+
+def train(m: dict, texts: list, v: int, streams: int = 64, window: int = 24, epochs: int = 2, rate: float = 4e-3, seed: int = 13, moments: dict | None = None, decay: float = 0.9) -> dict:
+    """Fits ``m`` in place on symbol arrays that end with 0.
+
+    ``moments`` (see ``new_moments``) keeps Adam's means between calls; the
+    rate falls by the share ``decay`` over a call.
+    """
     rng = np.random.default_rng(seed)
     hidden, classes = m["u"].shape[0], m["bc"].shape[0] - 1
-    moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in m.items()}
-    t = 0
+    moments = new_moments(m) if moments is None else moments
     for epoch in range(epochs):
         line = np.concatenate([texts[i] for i in rng.permutation(len(texts))]).astype(np.int64)
         b = max(1, min(streams, len(line) // (2 * window)))
@@ -147,8 +167,8 @@ def train(m: dict, texts: list, v: int, streams: int = 64, window: int = 24, epo
             g["gate"][sym[order][first]] = np.add.reduceat(flat[order], first, axis=0)
             norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
             scale = min(1.0, 1.0 / max(norm, 1e-9))
-            t += 1
-            lr = rate * (1 - 0.9 * (epoch + a / length) / epochs)
+            moments["t"] = t = moments["t"] + 1
+            lr = rate * (1 - decay * (epoch + a / length) / epochs)
             for k, x in m.items():
                 d = g[k] * np.float32(scale)
                 m1, m2 = moments[k]

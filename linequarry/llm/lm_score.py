@@ -7,8 +7,12 @@
   per text and distinct word.  These words are all rare, so the join is even.
 * The recurrent model knows the ``vocab`` most frequent words; the others are
   its rare class, shared out by (c + 1) / Z, with one share for all unseen
-  words.  It is fitted on about ``fit_tokens`` tokens of whole training texts,
-  chosen by a hash of their id.
+  words.
+* It is trained on every training text: it starts from a fit on about
+  ``fit_tokens`` tokens, then in each of ``rounds`` rounds every task trains a
+  copy on its own texts of that round (each text is in one) by truncated
+  back-propagation, and the copies are averaged by their tokens.  Sums of
+  copies travel, at most ``GROUPS`` of them to the driver.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from .tables import Scratch
 from .textops import LOWER, Tokenizer, chunks, mix64
 
 BUCKETS = 64
+GROUPS = 16
 
 
 def _count_words(limit: int = 6_000_000):
@@ -116,6 +121,57 @@ def _sample_symbols(shared):
     return run
 
 
+def _train_copy(sent, rate: float, streams: int = 256, chunk: int = 500_000):
+    """One row per task: its model's weights times its tokens, and the tokens; texts are worked off in chunks of about ``chunk`` tokens."""
+
+    def run(batches):
+        s = sent.value
+        head, tok, v = Lookup(s["keys"]), Tokenizer(), s["vocab"]
+        m = {k: x.copy() for k, x in s["model"].items()}
+        moments, held, n, total = gru.new_moments(m), [], 0, 0
+        for batch in batches:
+            for _, _, buf, off in chunks(batch.column(0)):
+                words = tok.words(buf, off)
+                _, symbols = _symbols(words, buf, head, v)
+                symbols, first = _with_ends(symbols, words.first)
+                held += [symbols[a:b] for a, b in zip(first[:-1], first[1:])]
+                n += len(symbols)
+                if n >= chunk:
+                    gru.train(m, held, v, streams=streams, epochs=1, rate=rate, moments=moments, decay=0.0)
+                    held, n, total = [], 0, total + n
+        if n:
+            gru.train(m, held, v, streams=streams, epochs=1, rate=rate, moments=moments, decay=0.0)
+            total += n
+        if total:
+            yield pa.record_batch([pa.array([(gru.flat(m).astype(np.float64) * total).tobytes()], pa.binary()), pa.array([total], pa.int64())], names=["w", "n"])
+
+    return run
+
+
+def _add_up(batches):
+    """One row: the sums of all rows (w, n)."""
+    total, n = None, 0
+    for batch in batches:
+        for x, k in zip(batch.column(0), batch.column(1).to_pylist()):
+            w = np.frombuffer(x.as_buffer(), np.float64)
+            total, n = w.copy() if total is None else total + w, n + k
+    if n:
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
+
+
+def _averaged(spark, pool: DataFrame, shared: dict, model: dict, rounds: int, rate: float) -> dict:
+    turn = F.pmod(F.xxhash64("id", F.lit(59)), F.lit(rounds))
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(shared | {"model": model})
+        copies = pool.where(turn == k).select("text").mapInArrow(_train_copy(sent, rate / (k + 1)), "w binary, n long")
+        # rows of some 800 kB: a few to a batch, summed in GROUPS tasks
+        sums = copies.repartition(GROUPS).mapInArrow(_add_up, "w binary, n long").toArrow()
+        n = sum(sums["n"].to_pylist())
+        if n:
+            model = gru.unflat(sum(np.frombuffer(x.as_buffer(), np.float64) for x in sums["w"]) / n, model)
+    return model
+
+
 _PART = "id long, n_tokens long, known long, head_sum double, rare_sum double, n_rare long, model double, words array<long>, times array<int>"
 
 
@@ -176,12 +232,12 @@ def _score_parts(shared, group: int = 2_000_000):
     return run
 
 
-def score_documents(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", vocab: int = 1024, head: int = 200_000, hidden: int = 24, fit_tokens: int = 1_000_000, epochs: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", vocab: int = 1024, head: int = 200_000, hidden: int = 24, fit_tokens: int = 300_000, epochs: int = 2, rounds: int = 3, rate: float = 2e-3) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Null texts count as empty ones; a text's end is a token.  Repeated rows
     are scored, and learnt from, as often as they occur.  Without training rows
-    the base is 0 and the model stays at its start.
+    the base is 0 and the model stays at its start.  Null ids are scored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -192,11 +248,17 @@ def score_documents(docs: DataFrame, learn_from: Column, id_col: str = "doc_id",
     ).first()
     counts = counts.where("h is not null")
     n, v = n_words + n_docs, distinct + (n_docs > 0)
-    # the head: all words at least as frequent as the rank ``head`` allows; found from the table of counts of counts,
+    # the head: the ``head`` most frequent words, equally frequent ones by hash; found from the table of counts of counts,
     # which is small (n tokens have fewer than sqrt(2 n) different counts), so no task sorts the vocabulary
     sizes = counts.groupBy("c").agg(F.count("*").alias("k")).toPandas().sort_values("c", ascending=False)
-    fits = sizes["c"][sizes["k"].cumsum() <= head]
-    top = counts.where(F.col("c") >= F.lit(int(fits.min()) if len(fits) else 1 << 62)).toArrow()
+    before = sizes["k"].cumsum() - sizes["k"]
+    cut = sizes[before < head].iloc[-1:]
+    top = counts.where("false")
+    if len(cut):
+        least = int(cut["c"].iloc[0])
+        share = (head - int(before[cut.index[0]])) / int(cut["k"].iloc[0])  # of the words with the least count
+        top = counts.where((F.col("c") > least) | ((F.col("c") == least) & (F.pmod(F.xxhash64("h", F.lit(57)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))))
+    top = top.toArrow()
     keys, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy().astype(np.int64)
     order = np.lexsort((keys.view(np.int64), -c))
     keys, c = keys[order], c[order]
@@ -209,14 +271,11 @@ def score_documents(docs: DataFrame, learn_from: Column, id_col: str = "doc_id",
     pick = F.pmod(F.xxhash64("id", F.lit(53)), F.lit(1 << 30)) / (1 << 30)
     sent = spark.sparkContext.broadcast(shared)
     got = pool.where(pick < rate).select(pick.alias("h"), "text").mapInArrow(_sample_symbols(sent), "h double, s binary").toArrow().sort_by("h")
-    texts, held = [], 0
-    for x in got["s"]:
-        if held < 2 * fit_tokens:  # the draw itself keeps the sum near fit_tokens
-            texts.append(np.append(np.frombuffer(x.as_buffer(), np.uint16), 0))
-            held += len(texts[-1])
+    texts = [np.append(np.frombuffer(x.as_buffer(), np.uint16), 0) for x in got["s"]]
     model = gru.new_model(model_counts, float(max(n_words - c[: size - 1].sum(), 0)), BUCKETS, hidden)
     if texts:
         gru.train(model, texts, size, epochs=epochs)
+        model = _averaged(spark, pool, shared, model, rounds, rate)
     all_ = spark.sparkContext.broadcast(shared | {"model": model})
     parts = scratch.keep(base.mapInArrow(_score_parts(all_), _PART).withColumn("row", F.monotonically_increasing_id()))
     left = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("h"), F.col("x.times").alias("times"))
