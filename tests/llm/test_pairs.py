@@ -269,3 +269,33 @@ def test_short_benchmark_items():
     got = {(r["doc_id"], r["item_id"]) for b in decontaminate._finder(block, 5, 80, 48, 41)([batch]) for r in b.to_pylist()}
     print("found", len(got))
     assert got == {(k, k) for k in items}
+
+
+def test_planted_near_vectors_are_linked(spark):
+    """12,000 vectors with 1,000 pairs just over the limit and 300 just under it: recall of the former, none of the latter."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((12_000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k in range(1300):
+        c = 0.951 if k < 1000 else 0.949
+        side = x[2 * k + 1] - (x[2 * k + 1] @ x[2 * k]) * x[2 * k]
+        x[2 * k + 1] = c * x[2 * k] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    x[::3] *= 1e-200
+    x[1::3] *= 1e200
+    got = vectors.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    linked = {r.vec_id for r in got if r.n_links}
+    assert len(got) == 12_000 and len(linked & set(range(2000))) >= 1980 and not linked - set(range(2000))
+    unit = x / np.abs(x).max(axis=1)[:, None]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    asked = np.arange(0, 12_000, 100)  # against brute force over all rows
+    exact = (unit[asked] @ unit.T >= 0.95).sum(axis=1) - 1
+    by = {r.vec_id: r.n_links for r in got}
+    assert all(by[int(a)] <= n for a, n in zip(asked, exact)) and sum(by[int(a)] for a in asked) >= 0.95 * exact.sum()
+
+
+def test_vectors_of_one_id(spark):
+    """Equal ones are copies; of different ones the same one counts in any order of the rows."""
+    a, b = [1.0, 0.0, 0.5], [0.0, 1.0, -2.0]
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, [1e200, 1e200, 0.0]), (5, [1e200, 1.0001e200, 0.0])]
+    got = [{(r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(x, "vec_id long, embedding array<double>")).collect()} for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and {(4, 1, 4), (5, 1, 4)} <= got[0]
