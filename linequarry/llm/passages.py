@@ -77,19 +77,39 @@ def _ranks(d, pos, h):
     return rank, back
 
 
-def _seeds(*kinds):
-    """Rows (id, pos, len, seed, own) of every kind (k, w).
+def _local_stars(ids, pos, seed, own, often: int):
+    """For seeds that a batch holds more than ``often`` times: (rows that link inside the batch, their centres' rows); the centre is the first place."""
+    order = np.lexsort((pos, ids, ~own, seed))
+    at = np.flatnonzero(np.append(True, seed[order][1:] != seed[order][:-1]))
+    size = np.diff(np.append(at, len(order)))
+    hot = size > often
+    centre = order[np.repeat(at[hot], size[hot])]
+    inside = order[np.flatnonzero(np.repeat(hot, size))]
+    ok = (inside != centre) & own[centre]
+    return inside[ok], centre[ok]
+
+
+_SEED = "seed long, id long, place long, rid long, rpos long"
+
+
+def _seeds(*kinds, often: int = 8):
+    """Rows (seed, id, place) of every kind (k, w); place packs position, k and ``own``.
 
     A seed that a document repeats has its number there in the key, so that
     the second one meets the second one of another document and a repeated
     line stays on one diagonal; it is also given under the key of the first
     one (``own`` is false there: it can't be the place others link to), unless
     it overlaps the one before, as in a run of one word.
+
+    Of a seed that stands in a batch more than ``often`` times only the first
+    place goes on; the others are matches (rid, rpos) of that place at once,
+    so that the most frequent seeds make no long group later.
     """
 
     def run(batches):
         tok = Tokenizer()
         for batch in batches:
+            got = []
             for i, j, buf, off in chunks(batch.column(1)):
                 words = tok.words(buf, off)
                 for k, w in kinds:
@@ -100,13 +120,52 @@ def _seeds(*kinds):
                     more = np.flatnonzero(back >= k)
                     own = np.append(np.ones(len(d), bool), np.zeros(len(more), bool))
                     key = np.append(np.where(rank > 0, mix64(h + rank.astype(np.uint64) * np.uint64(_SALT)), h), h[more])
-                    d, pos = np.append(d, d[more]), np.append(pos, pos[more])
-                    ids = batch.column(0).slice(i, j - i).take(pa.array(d))
-                    yield pa.record_batch([ids, pa.array(pos.astype(np.int32)), pa.array(np.full(len(d), k, np.int16)), pa.array(key.view(np.int64)), pa.array(own)], names=["id", "pos", "len", "seed", "own"])
+                    got.append((key.view(np.int64), i + np.append(d, d[more]), np.append(pos, pos[more]), np.full(len(key), k), own))
+            if not got:
+                continue
+            seed, row, pos, size, own = (np.concatenate(x) for x in zip(*got))
+            ids = batch.column(0).to_numpy()[row]
+            place = pos << 8 | size << 1 | own
+            inside, centre = _local_stars(ids, pos, seed, own, often)
+            stays = np.ones(len(seed), bool)
+            stays[inside] = False
+            # matches need no seed any more; their key only spreads them over the partitions
+            link = ids[inside] != ids[centre]
+            inside, centre = inside[link], centre[link]
+            none = pa.nulls(int(stays.sum()), pa.int64())
+            columns = [
+                (pa.array(seed[stays]), pa.array(mix64((ids[inside] + pos[inside]).view(np.uint64)).view(np.int64))), (pa.array(ids[stays]), pa.array(ids[inside])),
+                (pa.array(place[stays]), pa.array(place[inside])), (none, pa.array(ids[centre])), (none, pa.array(pos[centre])),
+            ]
+            yield pa.record_batch([pa.concat_arrays(c) for c in columns], names=["seed", "id", "place", "rid", "rpos"])
 
     return run
 
 
+def _stars(batches):
+    """Matches (id, rid, pos, rpos, len) of every place of a seed with its first own one, from partitions sorted by seed, not own, id, place."""
+    last, centre = None, (0, 0, False)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        linked = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+        done = batch.filter(pa.array(linked))
+        seed, ids, place = (batch.column(c).to_numpy()[~linked] for c in range(3))
+        pos, size, own = place >> 8, place >> 1 & 0x7F, (place & 1).astype(bool)
+        rid, rpos, valid = np.zeros(len(seed), np.int64), np.zeros(len(seed), np.int64), np.zeros(len(seed), bool)
+        if len(seed):
+            new = np.append(last is None or seed[0] != last, seed[1:] != seed[:-1])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(seed)), -1))
+            begun = at >= 0  # the others go on with the seed of the batch before
+            rid[begun], rpos[begun], valid[begun] = ids[at[begun]], pos[at[begun]], own[at[begun]]
+            rid[~begun], rpos[~begun], valid[~begun] = centre
+            last, centre = seed[-1], (rid[-1], rpos[-1], valid[-1])
+        keep = valid & (rid != ids)
+        place2 = done.column(2).to_numpy()
+        data = [np.append(a[keep], b) for a, b in ((ids, done.column(1)), (rid, done.column(3)), (pos, place2 >> 8), (rpos, done.column(4)), (size, place2 >> 1 & 0x7F))]
+        yield pa.record_batch([pa.array(x) for x in data], names=["id", "rid", "pos", "rpos", "len"])
+
+
 def anchors_of(pos, rpos, size, join: int):
     """Matches of ``size`` words merged along diagonals where at most ``join`` words apart: rows (start, end, other start, other end), sorted by start."""
     diagonal = pos - rpos
@@ -344,7 +403,7 @@ def _outermost(batches):
         yield pa.record_batch([pa.array([key[0]] * len(keep), pa.int64()), *(pa.array(c[keep]) for c in (rid, s, e, same))], names=["id", "rid", "at", "end", "same"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, w: int = 4, min_words: int = 50, percent: int = 80, cost: float = 0.1, max_shift: int = 12, slack: int = 4, margin: int = 60, context: tuple = (16, 12), least: int = 10) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, w: int = 4, min_words: int = 50, percent: int = 80, cost: float = 0.1, max_shift: int = 12, slack: int = 4, margin: int = 60, context: tuple = (20, 24), least: int = 10) -> DataFrame:
     """One row per repeated passage of a later document: id, start_word, end_word, n_same, first_id.
 
     Words are counted from 0; n_same of the end_word - start_word words equal
@@ -358,10 +417,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     base = one_text(docs, id_col, text_col, scratch)[0]
-    seeds = base.mapInArrow(_seeds((k, w), context), "id long, pos int, len short, seed long, own boolean")
-    first = seeds.where("own").groupBy("seed").agg(F.min("id").alias("rid"), F.max("id").alias("most"), F.min_by("pos", "id").alias("rpos")).where("rid < most").select("seed", "rid", "rpos")
-    first = scratch.keep(first)  # a table of its own, so that the join may split a hot seed
-    matches = seeds.join(first, "seed").where("id <> rid").select("id", "rid", "pos", "rpos", "len")
+    # one shuffle of the seeds; where the first place of each is known, its matches go on to their pair of documents
+    seeds = base.mapInArrow(_seeds((k, w), context), _SEED).repartition("seed").sortWithinPartitions("seed", F.expr("1 - place & 1"), "id", "place")
+    matches = seeds.mapInArrow(_stars, "id long, rid long, pos long, rpos long, len long")
     grouped = matches.repartition("id", "rid").sortWithinPartitions("id", "rid")
     chains = scratch.keep(grouped.mapInArrow(_chain(w, cost, max_shift, least), ", ".join(f"{c} long" for c in _CHAIN)))
 

@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's Arrow batch size to ``rows``: a batch of whole texts or sets then takes megabytes, not hundreds of them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, bytes_: int = 4 << 20) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch (64 MB by default), so that whole texts or sets come in pieces that fit a small worker; one row may be larger. Narrow rows still come in batches of many."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "64m").lower() in ("67108864b", "67108864", "64m"):  # a bound that the user chose stays
+        spark.conf.set(name, str(bytes_))
 
 
 class Scratch:
