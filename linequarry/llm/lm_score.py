@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
+from .blas import one_thread
 from .gru import score as gru_score
 from .tables import Scratch
 from .textops import LOWER, Tokenizer, chunks, mix64
@@ -125,6 +126,7 @@ def _train_copy(sent, rate: float, streams: int = 256, chunk: int = 500_000):
     """One row per task: its model's weights times its tokens, and the tokens; texts are worked off in chunks of about ``chunk`` tokens."""
 
     def run(batches):
+        one_thread()
         s = sent.value
         head, tok, v = Lookup(s["keys"]), Tokenizer(), s["vocab"]
         m = {k: x.copy() for k, x in s["model"].items()}
@@ -179,6 +181,7 @@ def _score_parts(shared, group: int = 2_000_000):
     """One row per text: what the head and the model say, and the words left for the join."""
 
     def run(batches):
+        one_thread()
         s = shared.value
         head, tok, v, m = Lookup(s["keys"]), Tokenizer(), s["vocab"], s["model"]
         weight = np.log10(s["counts"] + 1.0)
