@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blas import one_thread
 from .graph import connected_components
 from .tables import Scratch, broadcast_if_small
 from .textops import binary_array, mix64, random_u64
@@ -89,6 +90,7 @@ def _cells(wide, bits, tables, seed):
     kind = np.float64 if wide else np.float32
 
     def run(batches):
+        one_thread()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -145,6 +147,7 @@ def _link(wide, limit, m, h, need, bits, tables, seed):
     kind = np.float64 if wide else np.float32
 
     def run(batches):
+        one_thread()
         ids, others, counts = [], [], []
         for key, t in runs_of_keys(batches, 3):
             if t.num_rows < 2:
