@@ -1,4 +1,4 @@
-"""Command line: search, matches, inspect, explain, index, or a bare pattern with grep-like flags."""
+"""Command line: search, matches, inspect, explain, or a bare pattern with grep-like flags."""
 
 from __future__ import annotations
 
@@ -53,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--stats-only", action="store_true")
         s.add_argument("-j", "--json", action="store_true")
         s.add_argument("--emit-report")
-        s.add_argument("--threads", type=int)
+        s.add_argument("--threads", type=int, help="at most this many tasks read files at a time")
         s.add_argument("-F", "--fixed-strings", action="store_true", help="accepted")
         s.add_argument("-n", "--line-number", action="store_true", help="accepted")
         s.add_argument("--follow-symlinks", action="store_true", help="accepted")
@@ -95,7 +95,7 @@ def translate(argv: list[str]) -> list[str]:
     if not patterns:
         raise QueryError("missing_pattern", "a pattern is needed")
     out = ["search", lower_patterns(patterns, a.fixed_strings, a.ignore_case), *(paths or ["."])]
-    return out + ["--json"] * a.json + ["--hidden"] * a.hidden
+    return out + ["--json"] * a.json + ["--hidden"] * a.hidden + (["--threads", str(a.threads)] if a.threads else [])
 
 
 def run(spark: SparkSession, argv: list[str]) -> list[str]:
@@ -110,18 +110,20 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
     plan = parse(a.expression)
     began = time.monotonic()
     docs = file_texts(read_files(spark, a.paths, a.hidden))
+    if a.threads and a.threads > 0:
+        docs = docs.coalesce(a.threads)
     skipped = list_files(a.paths, a.hidden)[1]
     if a.command == "matches" or a.stats_only:
         n = se.count_matches(docs, plan, fold=a.ignore_case, raw=True).first()["matches"]
         return [f'{{"type": "lq.count.v1", "matches": {n}}}']
-    numbered = docs.withColumn("k", F.lit(0).cast("long"))
-    report = se.report(numbered, plan, "k", fold=a.ignore_case, raw=True).withColumn("files_skipped", F.col("files_skipped") + skipped)
+    report = se.report(docs, plan, "path", fold=a.ignore_case, raw=True).withColumn("files_skipped", F.col("files_skipped") + skipped)
     hits = _readable(se.hits(docs, plan, ["path"], fold=a.ignore_case, max_hits=a.max_hits, raw=True), "preview")
     if a.json:
         lines = [r.json for r in render.search_json(report, hits, plan.source, "path").collect()]
     else:
         lines = [r.record for r in render.hit_records(hits, "path").collect()]
-        lines += [r.line for r in render.sentinel(report, plan.source, round((time.monotonic() - began) * 1000, 3)).collect()]
+        shown = len(lines)
+        lines += [r.line for r in render.sentinel(report.withColumn("shown", F.lit(shown)), plan.source, round((time.monotonic() - began) * 1000, 3)).collect()]
     if a.emit_report:
         with open(a.emit_report, "w", encoding="utf-8") as f:
             f.write("\n".join(lines) + "\n")
@@ -146,7 +148,7 @@ def _inspect(spark, a) -> list[str]:
             elif a.records:
                 out += rows.orderBy("path", "line").select(render.record("path", "line", "role", "content")).toPandas()["record"].tolist()
             else:
-                out.append(render.context_text(path, [(r.line, r.role, r.content) for r in rows.orderBy("path", "line").limit(se.MAX_HITS).collect()]))
+                out.append(render.context_text(path, [(r.line, r.role, r.content) for r in rows.orderBy("path", "line").toLocalIterator()]))
             continue
         b = wi.bounds(a.skip, a.limit, a.start_line, a.end_line, a.range, a.total_count, a.all)
         head = wi.window_report(docs, b, ["path"]).first()

@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import QueryError
 from ..functions.columns import as_plan, counts_whole_text, line_column, line_count, line_test, may_match, needs_python, trigram_test
 from ..functions.expr import Plan
 
-MAX_HITS = 4096
+MAX_HITS = 4096  # what the command line asks for by default; any other number goes through
 
 
 def is_binary(text: Column) -> Column:
@@ -44,7 +45,7 @@ def hits(docs: DataFrame, query: str | Plan, keys: Sequence[str] = ("doc_id",),
     plan = as_plan(query)
     rows = lines_of(admitted(searchable(docs, text), plan, text, fold, prefilter, raw), keys, text).where(line_test(plan, F.col("content"), fold, raw))
     out = rows.select(*keys, "line", line_column(plan, F.col("content"), fold, raw).cast("long").alias("column"), F.col("content").alias("preview"))
-    return out if max_hits is None else out.orderBy(*keys, "line").limit(min(max_hits, MAX_HITS))
+    return out if max_hits is None else out.orderBy(*keys, "line").limit(max_hits)
 
 
 def matching_lines(docs: DataFrame, query: str | Plan, keys: Sequence[str] = ("doc_id",), text: str = "text", fold: bool = False, prefilter: bool = True) -> DataFrame:
@@ -78,7 +79,7 @@ def _matching(docs: DataFrame, plan: Plan, columns: dict[str, Column], text: str
 
 
 def report(docs: DataFrame, query: str | Plan, key: str = "doc_id", text: str = "text", fold: bool = False, raw: bool = False) -> DataFrame:
-    """One row of counters; pruned documents count as scanned, binary ones as skipped."""
+    """One row of counters; pruned documents count as scanned, binary ones as skipped. The slowest one is the largest, of equal ones that with the least key (of any type)."""
     plan = as_plan(query)
     test = may_match(plan, F.col(text), fold, raw=raw)
     admit = F.lit(True) if test is None else test
@@ -86,13 +87,13 @@ def report(docs: DataFrame, query: str | Plan, key: str = "doc_id", text: str =
     columns = {"k": F.col(key), "bytes": size, "skip": is_binary(F.col(text)), "admit": admit}
     per = _matching(docs.where(F.col(text).isNotNull()), plan, columns, text, fold, raw)
     ok = ~F.col("skip")
-    largest = F.max(F.when(ok, F.struct(F.col("bytes"), (-F.col("k")).alias("k"))))
+    largest = F.min(F.when(ok, F.struct((-F.col("bytes")).alias("bytes"), F.col("k"))))
     return per.agg(
         F.count("*").alias("files_discovered"), F.count_if(ok).alias("files_scanned"), F.count_if("skip").alias("files_skipped"),
         F.coalesce(F.sum(F.when(ok, F.col("bytes"))), F.lit(0)).alias("bytes_scanned"), F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).cast("long").alias("matches"),
         F.count_if(ok & (F.col("n") > 0)).alias("files_matched"), F.count_if(ok & ~F.col("admit")).alias("files_pruned"),
         F.coalesce(F.sum(F.when(ok & ~F.col("admit"), F.col("bytes"))), F.lit(0)).alias("bytes_pruned"), largest.alias("l"),
-    ).select("*", (-F.col("l.k")).alias("slowest_key"), F.col("l.bytes").alias("slowest_bytes")).drop("l")
+    ).select("*", F.col("l.k").alias("slowest_key"), (-F.col("l.bytes")).alias("slowest_bytes")).drop("l")
 
 
 def prune_stats(docs: DataFrame, query: str | Plan, text: str = "text") -> DataFrame:
@@ -126,9 +127,23 @@ def trigram_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def divide(index: DataFrame, query: str | Plan, key: str = "doc_id") -> DataFrame:
-    """Keys that hold all trigrams of the query's first admitted group (relational division on the index)."""
+    """Keys that hold all trigrams of every predicate of an AND query, or of any predicate of an OR query (relational division on the index).
+
+    In an AND query predicates without a trigram leave the choice to the others;
+    a query that no trigram decides is an error, since the index can't rule out any key.
+    """
     from ..functions.evidence import admit
 
-    groups = admit(as_plan(query)).groups
-    wanted = [t.decode("latin-1") for t in groups[0][1]]
-    return index.where(F.col("trigram").isin(wanted)).groupBy(key).agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(wanted)).select(key)
+    plan = as_plan(query)
+    admission = admit(plan)
+    if not admission.eligible:
+        raise QueryError("not_indexed", f"no trigram decides this query: {admission.reason}")
+    groups = [{t.decode("latin-1") for t in group} for _, group in admission.groups]
+    if plan.mode != "any":
+        groups = [set().union(*groups)]
+    held = [F.count_if(F.col("trigram").isin(sorted(g))) == len(g) for g in groups]
+    whole = held[0]
+    for more in held[1:]:
+        whole = whole | more
+    some = index.where(F.col("trigram").isin(sorted(set().union(*groups)))).select(key, "trigram").distinct()
+    return some.groupBy(key).agg(whole.alias("_holds")).where("_holds").select(key)

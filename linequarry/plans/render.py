@@ -25,7 +25,8 @@ def sentinel(report: DataFrame, expression: str, ms: float = 0.0) -> DataFrame:
     """One JSON line about a finished search; no match is still ok."""
     files = F.struct(F.col("files_discovered").alias("discovered"), F.col("files_scanned").alias("scanned"), F.col("files_skipped").alias("skipped"))
     slow = F.struct(F.col("slowest_key").alias("key"), F.col("slowest_bytes").alias("bytes"))
-    return report.select(F.to_json(F.struct(F.lit("lq.result.v1").alias("type"), F.lit("ok").alias("status"), F.lit(expression).alias("expr"), F.col("matches"), F.col("bytes_scanned").alias("bytes"), files.alias("files"), F.lit(ms).alias("ms"), slow.alias("slowest"))).alias("line"))
+    cut = [(F.col("shown") < F.col("matches")).alias("truncated")] if "shown" in report.columns else []
+    return report.select(F.to_json(F.struct(F.lit("lq.result.v1").alias("type"), F.lit("ok").alias("status"), F.lit(expression).alias("expr"), F.col("matches"), F.col("bytes_scanned").alias("bytes"), files.alias("files"), F.lit(ms).alias("ms"), slow.alias("slowest"), *cut)).alias("line"))
 
 
 def error_sentinel(error: QueryError) -> str:

@@ -130,3 +130,26 @@ def test_needle_reaches_the_scan(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = se.hits(docs, "lit:needle")._jdf.queryExecution().toString()
     assert "StringContains(text,needle)" in plan and re.search(r"ReadSchema: struct<doc_id:bigint,text:string>", plan)
+
+
+def test_divide_evaluates_every_group(spark):
+    from linequarry.errors import QueryError
+
+    docs = spark.createDataFrame([(1, "abc only"), (2, "xyz only"), (3, "abc xyz"), (4, "neither")], "doc_id long, text string")
+    index = se.trigram_index(docs)
+    keys = lambda q: sorted(r.doc_id for r in se.divide(index, q).collect())
+    assert keys("lit:abc || lit:xyz") == [1, 2, 3] and keys("lit:abc && lit:xyz") == [3] and keys("lit:abc && lit:x") == [1, 3]
+    for query in ("lit:ab", "lit:abc || lit:x"):
+        with pytest.raises(QueryError):
+            se.divide(index, query)
+
+
+def test_hit_limits_go_through(spark):
+    docs = spark.createDataFrame([(1, "\n".join(["hit"] * 5000))], "doc_id long, text string")
+    assert se.hits(docs, "lit:hit", max_hits=4500).count() == 4500 and se.hits(docs, "lit:hit").count() == 5000
+
+
+def test_report_names_a_path(spark):
+    docs = spark.createDataFrame([("b.txt", "hit here"), ("a.txt", "hit here"), ("c", "x")], "path string, text string")
+    row = se.report(docs, "lit:hit", "path").first()
+    assert (row.slowest_key, row.slowest_bytes, row.matches) == ("a.txt", 8, 2)
