@@ -144,12 +144,13 @@ def _across(need: int, length: int, percent: int):
     """Links that join the components of a bucket tile, confirmed on full sets: a forest, never all pairs.
 
     A pair whose components were joined by an earlier link of the tile is not
-    compared any more; of two components every other pair is.
+    compared any more; of two components every other pair is, once, in the
+    first bucket that it shares.
     """
 
     def run(key, table):
         row, col, sig, ids, comp = _halves(table, length)
-        sets = table["set"]
+        sets, keys = table["set"], table["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         _, group = np.unique(comp, return_inverse=True)
         held: dict[int, np.ndarray] = {}
 
@@ -161,7 +162,9 @@ def _across(need: int, length: int, percent: int):
         a, b = [], []
         for k in row:
             other = col[group[col] != group[k]]
-            for x in other[(sig[other] == sig[k]).sum(axis=1) >= need]:
+            other = other[(sig[other] == sig[k]).sum(axis=1) >= need]
+            first = keys[k][(keys[other] == keys[k]).argmax(axis=1)]
+            for x in other[first == key[0].as_py()]:
                 if group[x] != group[k] and similar(values(k), values(x), percent):
                     group[group == group[x]] = group[k]
                     a.append(ids[k])
@@ -233,9 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = tiled(at, F.count("*") / tile).join(sigs, "id").select("id", "comp", "sig", "bucket", *place)
     near = scratch.keep(spread.groupBy("bucket", "p", "q").applyInArrow(_suspects(need, length), "bucket long, id long"))
     if near.head(1):
-        sizes = unique.select("id", F.col("n").alias("size"))
+        sizes = unique.select("id", F.col("n").alias("size"), "keys")
         some = scratch.keep(near.distinct().join(at, ["bucket", "id"]).join(sizes, "id"))
-        spread = tiled(some, F.greatest(F.count("*") / tile, F.sum("size") * 8 / tile_bytes)).join(sigs, "id").join(sets, "id").select("id", "comp", "sig", "set", "bucket", *place)
+        spread = tiled(some, F.greatest(F.count("*") / tile, F.sum("size") * 8 / tile_bytes)).join(sigs, "id").join(sets, "id").select("id", "comp", "sig", "set", "keys", "bucket", *place)
         more = scratch.keep(spread.groupBy("bucket", "p", "q").applyInArrow(_across(need, length, percent), "a long, b long"))
         if more.head(1):
             comps = scratch.keep(connected_components(links.union(more), scratch))
