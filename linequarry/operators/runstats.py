@@ -5,22 +5,34 @@ aggregate_ms, total_ms (0 if unknown) and, for ``challengers``, a map of
 structs.  Order in time is (ts, run_id).
 
 Percentiles are order statistics, sorted[min(n - 1, floor(p n / 100))]: values
-are first counted per (group, value), which spreads any hot group, and a
-running count over the distinct values then finds the ranks.  Only one-row
-results reach the driver, in ``signals`` and ``hints``.
+are first counted per (group, value).  No task orders a whole group: rows are
+dealt to the tasks by ranges of (group, order) and cut into blocks of one Arrow
+batch at most; only a few figures of each block are put together by group.
+Only a few rows reach the driver, in ``signals`` and ``hints``.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # what runs on executors travels with its closures
+
+FIELDS = ("run_id", "ts", "profile", "ms", "ref_ms", "discover_ms", "scan_ms", "aggregate_ms", "total_ms")
 RANKS = {"p05": 5, "p10": 10, "p25": 25, "median": 50, "p75": 75, "p90": 90, "p95": 95, "p99": 99}
 RECENT = 100
 LEAST_WINDOW = 10
+#: up to so many groups, their figures are broadcast to the rows; beyond it the join is shuffled
+FEW = 10_000
 STATS = ["n", "min", *RANKS, "max", "mean", "stdev", "variance", "range", "iqr", "mad", "skew", "step", "slope", "cv_pct", "robust_cv_pct"]
 
 
@@ -53,39 +65,126 @@ def _finite(runs: DataFrame, value: str) -> DataFrame:
     return runs.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are equal."""
+    a, b = column[1:], column[:-1]
+    try:
+        differ = pc.fill_null(pc.not_equal(a, b), False)
+    except pa.ArrowNotImplementedError:  # nested keys
+        return np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
+    return pc.or_(differ, pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+
+
+def _blocks(rows: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str], figures: Callable[..., list[np.ndarray]], fields: dict[str, object]) -> DataFrame:
+    """One row per block, a run of rows of one key in the order: key, its place (_part, _block), and ``fields``.
+
+    ``figures`` takes the blocks' starts and sizes in a batch and its ``values``.  Each row is read once, by the task of its range.
+    """
+    n_key = len(key)
+    schema = StructType([rows.schema[k] for k in key] + [StructField("_part", IntegerType()), StructField("_block", LongType())] + [StructField(k, t) for k, t in fields.items()])
+
+    def cut(batches):
+        part, block = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for k in range(n_key):
+                new[1:] |= _changes(batch.column(k))
+            starts = np.flatnonzero(new)
+            got = figures(starts, np.diff(starts, append=batch.num_rows), *[batch.column(n_key + k).to_numpy(zero_copy_only=False) for k in range(len(values))])
+            place = [pa.array(np.full(len(starts), part, np.int32)), pa.array(np.arange(block, block + len(starts)))]
+            block += len(starts)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(starts)) for k in range(n_key)] + place + [pa.array(g) for g in got], names=schema.names)
+
+    return rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).select(*key, *values).mapInArrow(cut, schema)
+
+
+def _few(rows: DataFrame, by: Sequence[str]) -> bool:
+    return not by or rows.select(*by).distinct().limit(FEW + 1).count() <= FEW
+
+
+def _counts(runs: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    return _finite(runs, value).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+
+
+def _range_of(starts, sizes, v, c):
+    return [v[starts], v[starts + sizes - 1], np.add.reduceat(c, starts)]
+
+
+def _at_ranks(counts: DataFrame, by: Sequence[str], which: dict[str, int], few: bool) -> DataFrame:
+    """ranks of values (_v) that occur _c times: the block of each rank from the blocks' counts, then the rank among the values of that block."""
+    w, place = W.partitionBy(*by), W.partitionBy(*by).orderBy("_part", "_block").rowsBetween(W.unboundedPreceding, 0)
+    b = _blocks(counts, by, ["_v"], ["_v", "_c"], _range_of, {"_lo": DoubleType(), "_hi": DoubleType(), "_k": LongType()})
+    b = b.withColumns({"_n": F.sum("_k").over(w), "_to": F.sum("_k").over(place)})
+    spots = F.array(*[F.struct(F.lit(k).alias("_rank"), F.least(F.col("_n") - 1, F.floor(F.col("_n") * p / 100)).alias("_spot")) for k, p in which.items()])
+    b = b.select(*by, "_lo", "_hi", (F.col("_to") - F.col("_k")).alias("_from"), "_to", F.inline(spots)).where("_from <= _spot and _spot < _to").drop("_to")
+    b = F.broadcast(b) if few else b
+    near = (counts.join(b, list(by)) if by else counts.crossJoin(b)).where("_v between _lo and _hi")
+    run = W.partitionBy(*by, "_rank").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    near = near.withColumn("_to", F.col("_from") + F.sum("_c").over(run)).where("_to - _c <= _spot and _spot < _to")
+    return near.groupBy(*by).agg(*[F.max(F.when(F.col("_rank") == k, F.col("_v"))).alias(k) for k in which])
+
+
 def ranks(runs: DataFrame, value: str, by: Sequence[str], which: dict[str, int]) -> DataFrame:
     """by and one column per order statistic."""
-    counts = _finite(runs, value).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*by)
-    run = counts.withColumn("_to", F.sum("_c").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
-    total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    run = run.join(total, list(by)) if by else run.crossJoin(F.broadcast(total))
-    spot = {k: F.least(F.col("_n") - 1, F.floor(F.col("_n") * p / 100)) for k, p in which.items()}
-    pick = [F.max(F.when((F.col("_to") - F.col("_c") <= s) & (s < F.col("_to")), F.col("_v"))).alias(k) for k, s in spot.items()]
-    return run.groupBy(*by).agg(*pick)
-
-
-def series(runs: DataFrame, value: str, by: Sequence[str] = (), order: Sequence[str] = ("ts", "run_id")) -> DataFrame:
-    """One row per group: by and the columns of STATS; non-finite values are left out."""
+    return _at_ranks(_counts(runs, value, by), by, which, _few(runs, by))
+
+
+def _course(starts, sizes, x):
+    """Size, first, last, mean, sum of steps, and sum of products of deviations of place and value."""
+    step = np.abs(np.diff(x, prepend=x[:1]))
+    step[starts] = 0.0
+    mean = np.add.reduceat(x, starts) / sizes
+    i = np.arange(len(x)) - np.repeat(starts + (sizes - 1) / 2, sizes)
+    return [sizes.astype(np.int64), x[starts], x[starts + sizes - 1], mean, np.add.reduceat(step, starts), np.add.reduceat(i * (x - np.repeat(mean, sizes)), starts)]
+
+
+def _timed(some: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Mean step and least-squares slope of _x against its place in the order."""
+    w, place = W.partitionBy(*key), W.partitionBy(*key).orderBy("_part", "_block")
+    b = _blocks(some, key, order, ["_x"], _course, {"_k": LongType()} | dict.fromkeys(["_first", "_last", "_mean", "_steps", "_lean"], DoubleType()))
+    b = b.withColumns({
+        "_n": F.sum("_k").over(w), "_m": F.sum(F.col("_k") * F.col("_mean")).over(w) / F.sum("_k").over(w),
+        "_to": F.sum("_k").over(place.rowsBetween(W.unboundedPreceding, 0)), "_gap": F.coalesce(F.abs(F.col("_first") - F.lag("_last").over(place)), F.lit(0.0)),
+    })
+    middle = F.col("_to") - (F.col("_k") - 1) / 2 - (F.col("_n") + 1) / 2  # the block's mean place, from that of the group
+    lean = F.col("_lean") + F.col("_k") * middle * (F.col("_mean") - F.col("_m"))
+    n = F.max("_n").cast("double")
+    return b.groupBy(*key).agg(
+        F.when(n > 1, F.sum(F.col("_steps") + F.col("_gap")) / (n - 1)).otherwise(0.0).alias("step"), F.when(n > 1, F.sum(lean) * 12 / (n * (n * n - 1))).otherwise(0.0).alias("slope")
+    )
+
+
+def series(runs: DataFrame, value: str, by: Sequence[str] = (), order: Sequence[str] = ("ts", "run_id"), stats: Sequence[str] = STATS, few: bool | None = None) -> DataFrame:
+    """One row per group: by and ``stats``, by default all of STATS; non-finite values are left out.
+
+    ``few``: whether there are at most FEW groups; counted if not given.
+    """
     key = list(by) or ["_all"]
+    few = _few(runs, by) if few is None else few
     some = _finite(runs.withColumn("_all", F.lit(1)), value).withColumn("_x", F.col(value).cast("double"))
-    flat = some.groupBy(*key).agg(
+    out = some.groupBy(*key).agg(
         F.count("*").alias("n"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.avg("_x").alias("mean"), F.var_pop("_x").alias("variance"), F.stddev_pop("_x").alias("stdev"), F.skewness("_x").alias("_skew")
     )
-    place = W.partitionBy(*key).orderBy(*order)
-    timed = some.select(*key, "_x", F.row_number().over(place).alias("_i"), F.abs(F.col("_x") - F.lag("_x").over(place)).alias("_d"))
-    timed = timed.groupBy(*key).agg(F.coalesce(F.avg("_d"), F.lit(0.0)).alias("step"), F.coalesce(F.regr_slope("_x", "_i"), F.lit(0.0)).alias("slope"))
-    at = ranks(some, "_x", key, RANKS)
-    away = some.join(at.select(*key, F.col("median").alias("_m")), key).withColumn("_a", F.abs(F.col("_x") - F.col("_m")))
-    out = flat.join(timed, key).join(at, key).join(ranks(away, "_a", key, {"mad": 50}), key)
+    counts = _counts(some, "_x", key)
+    at = _at_ranks(counts, key, RANKS, few)
+    out = out.join(at, key)
     zero = F.lit(0.0)
+    if {"step", "slope"} & set(stats):
+        out = out.join(_timed(some, key, order), key)
+    if {"mad", "robust_cv_pct"} & set(stats):
+        mid = at.select(*key, F.col("median").alias("_m"))
+        away = counts.join(F.broadcast(mid) if few else mid, key).groupBy(*key, F.abs(F.col("_v") - F.col("_m")).alias("_v")).agg(F.sum("_c").alias("_c")).where(F.col("_v") < float("inf"))
+        out = out.join(_at_ranks(away, key, {"mad": 50}, few), key)
+        out = out.withColumn("robust_cv_pct", F.when(F.col("median") != 0, 1.4826 * F.col("mad") / F.abs(F.col("median")) * 100).otherwise(zero))
     out = out.withColumns({
         "range": F.col("max") - F.col("min"), "iqr": F.col("p75") - F.col("p25"),
         "skew": F.when((F.col("n") < 3) | (F.col("stdev") == 0), zero).otherwise(F.col("_skew")),
         "cv_pct": F.when(F.col("mean") != 0, F.col("stdev") / F.col("mean") * 100).otherwise(zero),
-        "robust_cv_pct": F.when(F.col("median") != 0, 1.4826 * F.col("mad") / F.abs(F.col("median")) * 100).otherwise(zero),
     })
-    return out.select(*by, *STATS)
+    return out.select(*by, *stats)
 
 
 def semivariance_above(runs: DataFrame, value: str, limit: float, by: Sequence[str] = ()) -> DataFrame:
@@ -251,21 +350,32 @@ def _one(df: DataFrame) -> dict:
 
 
 def _figures(runs: DataFrame) -> dict:
-    """All summaries that signals and hints read; the series of all sets and measures come from one grouped query."""
-    r = derive(runs).withColumn("delta", F.col("ms") - F.col("ref_ms")).withColumn("goal_gap", F.col("ms") - 0.5 * F.col("ref_ms"))
-    new = recent_runs(r, RECENT)
-    names = ["ratio", "delta", "goal_gap", "ref_ms", "scan_pct", "discover_pct", "aggregate_pct"]
-    sets = r.withColumn("set", F.lit("o")).unionByName(new.withColumn("set", F.lit("r"))).unionByName(r.where("ratio > 1").withColumn("set", F.lit("s")))
-    long_ = sets.select("ts", "run_id", "set", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("measure", "x"))
-    empty = dict.fromkeys(STATS, 0)
-    got = {(x.set, x.measure): {k: 0 if v is None else v for k, v in x.asDict().items()} for x in series(long_, "x", ["set", "measure"]).collect()}  # 21 rows
-
-    fig = {"o": got.get(("o", "ratio"), empty), "r": got.get(("r", "ratio"), empty), "delta": got.get(("o", "delta"), empty), "goal": got.get(("o", "goal_gap"), empty)}
-    fig |= {"ref": got.get(("o", "ref_ms"), empty), "debt": got.get(("s", "delta"), empty)}
+    """All summaries that signals and hints read: everything of the ratio, of all and of the recent runs; of the other measures what is read."""
+    last = recent_runs(runs, RECENT).select(*[c for c in runs.columns if c in FIELDS])
+    last = runs.sparkSession.createDataFrame(last.toArrow(), last.schema)  # read once
+    r, new = (derive(x).withColumn("delta", F.col("ms") - F.col("ref_ms")).withColumn("goal_gap", F.col("ms") - 0.5 * F.col("ref_ms")) for x in (runs, last))
+    phases = ["scan_pct", "discover_pct", "aggregate_pct"]
+    brief = ["mean", "median", "p95"]
+
+    def measures(some: DataFrame, name: str, names: list[str]) -> DataFrame:
+        return some.select(F.lit(name).alias("set"), F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("measure", "x"))
+
+    both = r.select("ts", "run_id", "ratio", F.lit("o").alias("set")).unionByName(new.select("ts", "run_id", "ratio", F.lit("r").alias("set")))
+    long_ = measures(r, "o", ["delta", "goal_gap", "ref_ms", *phases]).unionByName(measures(new, "r", phases)).unionByName(measures(r.where("ratio > 1"), "s", ["delta", *phases]))
+
+    def figures(x) -> dict:
+        return {k: 0 if v is None else v for k, v in x.asDict().items()}
+
+    whole = {x.set: figures(x) for x in series(both, "ratio", ["set"], few=True).collect()}  # 2 rows
+    got = {(x.set, x.measure): figures(x) for x in series(long_, "x", ["set", "measure"], stats=brief, few=True).collect()}  # 13 rows
+
+    empty, nothing = dict.fromkeys(STATS, 0), dict.fromkeys(brief, 0)
+    fig = {"o": whole.get("o", empty), "r": whole.get("r", empty), "delta": got.get(("o", "delta"), nothing), "goal": got.get(("o", "goal_gap"), nothing)}
+    fig |= {"ref": got.get(("o", "ref_ms"), nothing), "debt": got.get(("s", "delta"), nothing)}
     for phase in ("scan", "discover", "aggregate"):
         for name in "ors":
-            fig[f"{name}_{phase}"] = got.get((name, f"{phase}_pct"), empty)["median"]
-    fig["oset"], fig["rset"] = _one(run_set(runs)), _one(run_set(recent_runs(runs, RECENT)))
+            fig[f"{name}_{phase}"] = got.get((name, f"{phase}_pct"), nothing)["median"]
+    fig["oset"], fig["rset"] = _one(run_set(runs)), _one(run_set(last))
     fig["out"], fig["self"] = _one(outlier_summary(runs)), _one(self_improvement(runs))
     limit = fig["o"]["p75"] + 1.5 * fig["o"]["iqr"]
     fig["recent_out"] = new.where(F.col("ratio") > F.lit(limit)).count()

@@ -3,6 +3,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from linequarry.operators import runstats as rs
 
@@ -78,3 +79,81 @@ def test_challengers(spark):
     df = spark.createDataFrame([(1, 1, 1.0, c), (2, 2, 4.0, c)], "run_id int, ts int, ms double, competitors map<string, struct<available: boolean, duration_ms: double>>")
     got = {r.name: r for r in rs.challengers(df).collect()}
     assert (got["x"].wins, got["x"].losses, got["x"].median_ms, got["y"].status, got["y"].availability_pct) == (1, 1, 2.0, "unavailable", 0.0)
+
+
+@pytest.fixture
+def conf(spark):
+    had = {}
+
+    def put(name, value):
+        had.setdefault(name, spark.conf.get(name, None))
+        spark.conf.set(name, value)
+
+    yield put
+    for name, value in had.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def most_read(spark, work):
+    """The most shuffled rows that one task reads while ``work`` runs."""
+    sc, name = spark.sparkContext, f"most-read-{random.random()}"
+    sc.setJobGroup(name, name)
+    try:
+        work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    store, most = sc._jsc.sc().statusStore(), 0
+    for job in sc.statusTracker().getJobIdsForGroup(name):
+        for stage in sc.statusTracker().getJobInfo(job).stageIds:
+            tasks = store.taskList(stage, 0, 1000)
+            for k in range(tasks.size()):
+                metrics = tasks.apply(k).taskMetrics()
+                most = max(most, metrics.get().shuffleReadMetrics().recordsRead() if metrics.isDefined() else 0)
+    return most
+
+
+@pytest.fixture
+def many(spark, conf):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    cols = {"run_id": F.col("id"), "ts": F.col("id"), "profile": F.lit("p"), "ms": F.rand(1) + 0.5, "ref_ms": F.lit(1.0), "scan_ms": F.rand(2)}
+    return spark.range(40_000, numPartitions=4).select(*[c.alias(k) for k, c in cols.items()])
+
+
+@pytest.mark.parametrize("by", [["profile"], []])
+def test_no_task_reads_a_whole_group(spark, many, by):
+    assert 5_000 < most_read(spark, lambda: rs.series(many, "ms", by).collect()) < 20_000
+    assert 5_000 < most_read(spark, lambda: rs.ranks(many, "ms", by, {"m": 50}).collect()) < 20_000
+
+
+def test_signals_read_no_whole_group(spark, many):
+    assert most_read(spark, lambda: rs.signals(many).collect()) < 60_000
+
+
+def test_blocks_of_a_few_rows(spark, conf):
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(40), (f"p{min(rng.randrange(9), 3)}", 1), rng.choice([None, 1.0, -2.0, rng.gauss(0, 1e3), float("inf")])) for k in range(600)]
+    rows.append((600, 1, ("alone", 1), 4.0))
+    df = spark.createDataFrame(rows, "run_id long, ts long, profile struct<a: string, b: int>, x double").repartition(5)
+    got = {tuple(r.profile): r for r in rs.series(df, "x", ["profile"]).collect()}
+    groups = {}
+    for k, ts, p, x in sorted(rows, key=lambda r: (r[1], r[0])):
+        if x is not None and math.isfinite(x):
+            groups.setdefault(p, []).append(x)
+    assert got.keys() == groups.keys()
+    for p, v in groups.items():
+        s = got[p]
+        assert s.n == len(v) and all(s[k] == rank(v, q) for k, q in rs.RANKS.items()) and s.mad == rank([abs(x - s.median) for x in v], 50)
+        if len(v) > 1:
+            assert math.isclose(s.step, statistics.fmean(abs(a - b) for a, b in zip(v, v[1:]))) and math.isclose(s.slope, statistics.linear_regression(range(len(v)), v).slope, rel_tol=1e-9)
+        else:
+            assert (s.step, s.slope) == (0.0, 0.0)
+
+
+@pytest.mark.parametrize("few", [rs.FEW if hasattr(rs, "FEW") else 0, 2])
+def test_ranks_of_many_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(rs, "FEW", few, raising=False)
+    df = spark.range(3000).select((F.col("id") % 50).alias("g"), F.when(F.col("id") % 50 == 7, 1.5).otherwise(F.col("id").cast("double")).alias("x"))
+    got = {r.g: (r.m, r.top) for r in rs.ranks(df, "x", ["g"], {"m": 50, "top": 99}).collect()}
+    assert got == {g: (1.5, 1.5) if g == 7 else (float(g + 50 * 30), float(g + 50 * 59)) for g in range(50)}
