@@ -130,6 +130,11 @@ def test_signals_read_no_whole_group(spark, many):
     assert most_read(spark, lambda: rs.signals(many).collect()) < 60_000
 
 
+def test_hints_read_no_whole_group(spark, many):
+    other = F.create_map(F.lit("x"), F.struct(F.lit(True).alias("available"), F.rand(3).alias("duration_ms")))
+    assert most_read(spark, lambda: rs.hints(many.withColumn("competitors", other)).collect()) < 60_000
+
+
 def test_blocks_of_a_few_rows(spark, conf):
     conf("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     rng = random.Random(5)
